@@ -235,6 +235,42 @@ def default_rewriter() -> Rewriter:
     return Rewriter(representatives())
 
 
+class PointFolder:
+    """The form of many texts at once: the rewriter's first sweep as one table lookup per code point. Texts with marks
+    that a sequence may take in go through the automaton."""
+
+    def __init__(self, rewrite: Rewriter | None = None) -> None:
+        self.rewrite = rewrite or default_rewriter()
+        self.table = np.arange(0x110000, dtype=np.uint32)
+        for m, (_, r) in self.rewrite.first.items():
+            self.table[ord(m)] = ord(r) if r else 0x110000
+        self.marks = np.zeros(0x110000, bool)
+        for m in self.rewrite.second.keys():
+            self.marks[[ord(c) for c in m if unicodedata.category(c)[0] == "M"]] = True
+
+    def __call__(self, texts: list[str], drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(points, ends): the forms' code points one after the other, and where each text's end; points for which
+        `drop` (by code point) is true are left out. Texts must not be null."""
+        def points_of(ts):
+            return np.frombuffer("".join(ts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(t) for t in ts])
+
+        points, ends = points_of(texts)
+        folded = self.table[points]
+        marked = np.concatenate([[0], np.cumsum(self.marks[np.minimum(folded, 0x10FFFF)])])
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+        again = np.flatnonzero(marked[ends] > marked[starts]) if len(texts) else []
+        if len(again):
+            texts = list(texts)
+            for i in again:
+                texts[i] = self.rewrite(texts[i])
+            points, ends = points_of(texts)
+            folded = self.table[points]
+        keep = folded < 0x110000
+        if drop is not None:
+            keep &= ~drop[np.minimum(folded, 0x10FFFF)]
+        return folded[keep], np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int64) if len(texts) else ends
+
+
 def member_counts(texts: DataFrame, col: str = "text") -> dict[str, int]:
     """How often each member of a class occurs in all of `col`.
 

@@ -22,20 +22,30 @@ from ..runtime import over_batches, spread, table
 SAMPLE = 8000
 END = r"[。！？.!?…।”」』»\"｡][\s\p{Z}]*$"
 BULLET = r"^[\s\p{Z}]*(?:[-*•·▪◦–●○■□◆※+][\s\p{Z}]|\*?[\s]?\[[ xX]\]|\p{Nd}{1,3}[.)、．）]|[（(]\p{Nd}{1,3}[)）]|[①-⑳]|[一二三四五六七八九十]{1,3}、)"
-SEPARATORS = ["\t", "|", ";", "   ", ",", "；", "，"]
+SEPARATORS = ["\t", "|", ";", "   ", ","]
 FEATURES = ["lines", "line_length", "end_share", "bullet_share", "column_share", "distinct_lines", "common_share", "symbol_share", "digit_share", "mark_share", "distinct_chars", "variety"]
 
 
+def _trie_pattern(words: list[str]) -> str:
+    """An alternation of `words` that looks at each character once, longest first."""
+    by_head: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            by_head.setdefault(w[0], []).append(w[1:])
+    single = "".join(re.escape(c) for c, rest in sorted(by_head.items()) if rest == [""])
+    parts = [re.escape(c) + _trie_pattern(rest) for c, rest in sorted(by_head.items()) if rest != [""]]
+    if single:
+        parts.append(f"[{single}]")
+    body = "|".join(parts)
+    return f"(?:{body})?" if "" in words and parts else f"(?:{body})" if len(parts) > 1 else body
+
+
 def common_pattern(words: list[str]) -> str:
     """One pattern for the common words: whole words where a script parts them, else anywhere."""
-    apart = sorted({w for w in words if re.fullmatch(r"[a-zà-ÿœа-яё'’]+", w)}, key=lambda w: (-len(w), w))
-    within = sorted({*words} - {*apart}, key=lambda w: (-len(w), w))
-    heads = lambda ws: "".join(sorted({re.escape(w[0]) for w in ws}))
-    parts = []
-    if apart:
-        parts.append(rf"(?<!\p{{L}})(?=[{heads(apart)}])(?:{'|'.join(map(re.escape, apart))})(?!\p{{L}})")
-    if within:
-        parts.append(rf"(?=[{heads(within)}])(?:{'|'.join(map(re.escape, within))})")
+    apart = sorted({w for w in words if re.fullmatch(r"[a-zà-ÿœа-яё'’]+", w)})
+    within = sorted({*words} - {*apart})
+    heads = "".join(sorted({re.escape(w[0]) for w in apart}))
+    parts = [rf"(?=[{heads}])(?<!\p{{L}}){_trie_pattern(apart)}(?!\p{{L}})"] * bool(apart) + [_trie_pattern(within)] * bool(within)
     return "(?:" + "|".join(parts) + ")" if parts else r"(?!)"
 
 
@@ -51,8 +61,8 @@ def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFra
 
     def columns(sep: str) -> Column:
         counts = F.transform(F.col("l"), lambda x: (F.length(x) - F.length(F.replace(x, F.lit(sep), F.lit("")))) / len(sep))
-        usual = F.element_at(F.array_sort(counts), (F.size("l") / 2 + 1).cast("int"))
-        least = 2 if sep in ",，" else 1
+        usual = F.element_at(F.sort_array(counts), (F.size("l") / 2 + 1).cast("int"))
+        least = 2 if sep == "," else 1
         return F.when((F.size("l") >= 3) & (usual >= least), F.size(F.filter(counts, lambda c: c == usual)) / F.size("l")).otherwise(0.0)
 
     return (
@@ -107,7 +117,7 @@ class Seeds:
         if n >= 3 and ended < 0.3:
             for sep in SEPARATORS:
                 k, most = Counter(x.count(sep) for x in lines).most_common(1)[0]
-                if k >= (2 if sep in ",，" else 1) and most >= 0.8 * n - 1:
+                if k >= (2 if sep == "," else 1) and most >= 0.8 * n - 1:
                     return "table"
         if sum(unicodedata.category(c)[0] in "PS" for c in text) > 0.3 * len(text):
             return "junk"
@@ -200,11 +210,14 @@ def learn(docs: DataFrame, key: str, text: str, common: list[str], sample: int =
     return induce_rules(x, y, [k for k in ("table", "junk", "list") if count[k]])
 
 
-def kinds(docs: DataFrame, key: str, text: str, common: list[str], rules: list | None = None) -> DataFrame:
-    """(key, kind) of every document with anything to read; null, empty and blank texts have no kind."""
+def kinds(docs: DataFrame, key: str, text: str, common: list[str], rules: list | None = None, but: str | None = None) -> DataFrame:
+    """(key, kind) of every document with anything to read, without those of kind `but`; null, empty and blank texts
+    have no kind. The choice is made by a generator: a filter on `kind` would be pushed below the statistics, each of
+    which would then be computed anew wherever a rule names it."""
     rules = learn(docs, key, text, common) if rules is None else rules
     stats = statistics(docs.where(F.col(text).rlike(r"[^\s\p{Z}]")), key, text, common)
-    return stats.select(key, F.expr(case_of(rules, "prose")).alias("kind"))
+    kind = F.expr(case_of(rules, "prose"))
+    return stats.select(key, F.explode(F.filter(F.array(kind), lambda k: k != F.lit(but)) if but else F.array(kind)).alias("kind"))
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -214,7 +227,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, common = _inputs(spark, sf_dir)
-    return kinds(docs, "doc_id", "text", common).where("kind <> 'prose'")
+    return kinds(docs, "doc_id", "text", common, but="prose")
 
 
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,16 +27,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation and a Python
-    stage that several branches read runs once. The folder is `spark.checkpoint.dir`; only where it is unset
-    (local tests) a folder of our own is taken."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in `spark.checkpoint.dir`; one of our own only where it is unset, as in
+    local tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         set_to = sc.getConf().get("spark.checkpoint.dir", None)
         if not set_to and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(set_to or os.path.join(tempfile.gettempdir(), f"quillmill-{os.getpid()}"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation and a Python
+    stage that several branches read runs once."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

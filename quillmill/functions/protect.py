@@ -75,6 +75,7 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
 
 def editable_positions(text: Column, spans: Column | None = None) -> Column:
     """0-based positions that are no punctuation, no white space and in no span (an array of structs start, end)."""
-    ok = lambda i: ~F.substring(text, i + 1, F.lit(1)).rlike(rf"[{re.escape(PUNCTUATION)}\p{{Z}}\s\x1c-\x1f]")
-    free = ok if spans is None else lambda i: ok(i) & ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"]))
-    return F.when(F.length(text) > 0, F.filter(F.sequence(F.lit(0), F.length(text) - 1), free)).otherwise(F.array().cast("array<int>"))
+    ok = lambda c: ~c.rlike(rf"[{re.escape(PUNCTUATION)}\p{{Z}}\s\x1c-\x1f]")
+    free = (lambda c, i: ok(c)) if spans is None else lambda c, i: ok(c) & ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"]))
+    at = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(free(c, i), i)), lambda i: i.isNotNull())
+    return F.when(F.length(text) > 0, at).otherwise(F.array().cast("array<int>"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -300,14 +301,13 @@ def canonical_text(df: DataFrame, col: str, out: str, counts: Mapping[str, int]
     """`df` with `out`: `col` in the form of problem 1. Null stays null, empty stays empty; other columns, also one
     named like `out` (which is replaced), are kept."""
     rep = representatives(counts)
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def form(s: "pd.Series") -> "pd.Series":  # noqa: F821
+    @F.pandas_udf("string")
+    def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rewrite = Rewriter(rep)
-        return s.map(lambda x: x if x is None else rewrite(x))
+        for s in batches:
+            yield s.map(lambda x: x if x is None else rewrite(x))
 
-    form.func.__annotations__.clear()
     return df.withColumn(out, form(F.col(col)))
 
 

@@ -40,7 +40,7 @@ _ALIKE = {m: [x for x in ms if len(x) == 1] for ms in lookalike_classes().values
 
 def _spelled(word: str) -> str:
     """`word` in any look-alike letters, with invisible characters between them."""
-    return r"\p{Cf}*+".join("[" + "".join(_ALIKE.get(c, [c])) + "]" if c.isalpha() else rf"\{c}" if c in ".-" else c for c in word)
+    return r"\p{Cf}{0,2}".join("[" + "".join(_ALIKE.get(c, [c])) + "]" if c.isalpha() else rf"\{c}" if c in ".-" else c for c in word)
 
 
 def _any(words: list[str] | set[str]) -> str:
@@ -49,16 +49,17 @@ def _any(words: list[str] | set[str]) -> str:
 
 # Pattern -> replacement, in this order. Each replacement has the length of what it replaces.
 MASKS = [
-    (r"(?<=[\p{Nd}])[.．](?=[\p{Nd}])", MASK),  # decimals, versions, sections
-    (r"(?<=[A-Za-z0-9/=&_-])[.?!](?=[a-z0-9/&=_])", MASK),  # addresses
+    (r"[.．](?<=[\p{Nd}].)(?=[\p{Nd}])", MASK),  # decimals, versions, sections
+    (r"[.?!](?<=[A-Za-z0-9/=&_-].)(?=[a-z0-9/&=_])", MASK),  # addresses
     (rf"^({B}*[\p{{Nd}}]{{1,3}})\.(?={B})", rf"$1{MASK}"),  # a running number in front
-    (rf"(?<![\p{{L}}\p{{Nd}}])({_any([a for a, _ in PARTED])})\.(?={N}*(?:{_any([b for _, b in PARTED])})\.)", rf"$1{MASK}"),
-    (rf"(?<![\p{{L}}])((?:{'|'.join(rf'{_spelled(a)}{MASK}{N}*{_spelled(b)}' for a, b in PARTED)}))\.", rf"$1{MASK}"),
-    (rf"(?<![\p{{L}}])({_any([a for a, _ in PARTED_OPEN])})\.(?={N}*(?:{_any([b for _, b in PARTED_OPEN])})\.)", rf"$1{MASK}"),
-    (rf"(?<![\p{{L}}'’])(\p{{Lu}})\.(?={N}*\p{{Lu}})", rf"$1{MASK}"),  # initials
-    (rf"(?<![\p{{L}}])({_any(ABBREVIATIONS)})\.", rf"$1{MASK}"),
-    (rf"(?<![\p{{L}}\p{{Nd}}])([\p{{Nd}}]{{1,2}})\.(?={N}+(?:{MONTHS}))", rf"$1{MASK}"),  # ordinals
-    (rf"(?<![\p{{L}}])((?:{BEFORE_ORDINAL}){N}+[\p{{Nd}}]{{1,3}})\.(?={N})", rf"$1{MASK}"),
+    # The dot first, what must stand before it after: only dots are looked at.
+    (rf"\.(?<=(?<![\p{{L}}\p{{Nd}}])(?:{_any([a for a, _ in PARTED])})\.)(?={N}*(?:{_any([b for _, b in PARTED])})\.)", MASK),
+    (rf"\.(?<=(?<!\p{{L}})(?:{'|'.join(rf'{_spelled(a)}{MASK}{N}{{0,3}}{_spelled(b)}' for a, b in PARTED)})\.)", MASK),
+    (rf"\.(?<=(?<!\p{{L}})(?:{_any([a for a, _ in PARTED_OPEN])})\.)(?={N}*(?:{_any([b for _, b in PARTED_OPEN])})\.)", MASK),
+    (rf"\.(?<=(?<![\p{{L}}'’])\p{{Lu}}\.)(?={N}*\p{{Lu}})", MASK),  # initials
+    (rf"\.(?<=(?<!\p{{L}})(?:{_any(ABBREVIATIONS)})\.)", MASK),
+    (rf"\.(?<=(?<![\p{{L}}\p{{Nd}}])\p{{Nd}}{{1,2}}\.)(?={N}+(?:{MONTHS}))", MASK),  # ordinals
+    (rf"\.(?<=(?<!\p{{L}})(?:{BEFORE_ORDINAL}){N}{{1,3}}\p{{Nd}}{{1,3}}\.)(?={N})", MASK),
 ]
 
 # Quotations of up to so many characters are taken whole; a longer one is most likely a quotation mark left open.
@@ -79,7 +80,9 @@ _marks = (
     rf"|(?<=\p{{Ll}}{{2}})[.!?](?=\p{{Lu}}\p{{Ll}})){_close}"
 )
 _blank = rf"(?:(?<=[฀-๿]{N}{{0,2}}){B}++{N}*+(?=[฀-๿])|(?<=[{CJK}%％]){B}++{N}*+(?=[{CJK}\p{{Nd}}]))"
-UNIT = rf"(?s)(?:(?!{_quote_end}|{_marks}|{_blank})(?:{_quote}|{_bracket}|.))*+(?:{_quote_end}|{_marks}|{_blank}|\z)"
+# What may begin a mark, a quotation, a bracket or a parting blank; all else is passed over at once.
+_plain = r"[^。｡．！？।॥…!?.„“「『«‹\"＂｢（(《〈【\[\p{Z}\s]++"
+UNIT = rf"(?s)(?:{_plain}|(?!{_quote_end}|{_marks}|{_blank})(?:{_quote}|{_bracket}|.))*+(?:{_quote_end}|{_marks}|{_blank}|\z)"
 
 
 def masked(text: Column) -> Column:

@@ -30,10 +30,15 @@ def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def split_sentences(df: DataFrame, key: str, text: str, quotes: bool = True) -> DataFrame:
     """(key, line_no, piece_no, text, start, end): sentences within lines, quotations kept whole if `quotes`."""
-    lines = split_lines(df, key, text).withColumnRenamed("start", "line_start")
-    found = F.filter(F.regexp_extract_all("text", F.lit(SENTENCE if quotes else SENTENCE_UNQUOTED), F.lit(0)), lambda x: F.length(x) > 0)
-    rows = lines.select(key, "line_no", "line_start", F.posexplode(_placed(found)).alias("piece_no", "p"))
-    return rows.select(key, "line_no", "piece_no", "p.text", (F.col("line_start") + F.col("p.start")).cast("int").alias("start"), (F.col("line_start") + F.col("p.end")).cast("int").alias("end"))
+    found = F.filter(F.regexp_extract_all("line", F.lit(SENTENCE if quotes else SENTENCE_UNQUOTED), F.lit(0)), lambda x: F.length(x) > 0)
+    lines = df.select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+    pieces = lines.withColumn("p", F.when(F.col("line") == "", F.array(F.lit(""))).otherwise(found))
+    rows = pieces.select("k", "line_no", F.size("p").alias("of"), F.posexplode("p").alias("piece_no", "text"))
+    # One running sum over lines and pieces places both; a line end counts with the last piece of its line.
+    n = F.length("text") + (F.col("piece_no") == F.col("of") - 1).cast("int")
+    start = (F.sum("n").over(Window.partitionBy("k").orderBy("line_no", "piece_no")) - F.col("n")).cast("int")
+    placed = rows.withColumn("n", n).withColumn("start", start).where("text <> ''")
+    return placed.select(F.col("k").alias(key), "line_no", "piece_no", "text", "start", (F.col("start") + F.length("text")).alias("end"))
 
 
 def cut_long(text: str, limit: int) -> list[str]:

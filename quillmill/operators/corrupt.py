@@ -63,7 +63,8 @@ def corrupt(df: DataFrame, key: str, text: str, confusions: DataFrame, settings:
     t, s = F.col(text), settings
     d = lambda *slot: draw(s.seed, epoch, F.col(key), *slot)
     free = editable_positions(t, F.col(spans) if spans else None)
-    ranked = F.array_sort(F.transform(free, lambda i: F.struct(d("pos", i).alias("r"), i.alias("position"))))
+    # A place's rank is a native hash: it is made for every character, unlike the draws.
+    ranked = F.sort_array(F.transform(free, lambda i: F.struct(F.xxhash64(F.lit(s.seed), F.lit(epoch), F.col(key), i).alias("r"), i.alias("position"))))
     go = (F.length(t) >= s.least_length) & (d("gate") < int(s.p_corrupt * SPAN))
     wanted = n_edits(d("n"), s, length_rate(F.length(t)) if s.by_length else None)
     chosen = df.where(go).select(key, F.col(text).alias("t"), F.explode(F.slice(ranked, 1, wanted)).alias("c")).select(key, "t", "c.position")

@@ -18,15 +18,29 @@ VECTORS = {"input_ids": "h", "attention_mask": "b", "op_labels": "b", "insert_la
 INT = "array<int>"
 
 
-def vocabulary(vocab: DataFrame) -> Column:
-    """token -> id as one literal map; a vocabulary is bounded (MOST_TOKENS), else this is an error."""
+class Vocabulary:
+    """Token -> id as literals: characters of the basic plane by an array over code points, which is looked up in one
+    step, other tokens by a map. vocab[column] is the id, or null. A vocabulary is bounded (MOST_TOKENS)."""
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        plain = {ord(t): i for t, i in ids.items() if len(t) == 1 and ord(t) < 0x10000}
+        self.size = max(plain, default=-1) + 1
+        self.table = F.from_json(F.lit(json.dumps([plain.get(o) for o in range(self.size)])), "array<int>")
+        self.rest = F.from_json(F.lit(json.dumps({t: i for t, i in ids.items() if len(t) != 1 or ord(t) >= 0x10000})), "map<string,int>")
+
+    def __getitem__(self, token: Column) -> Column:
+        point = F.ascii(token)
+        return F.when((F.length(token) == 1) & (point < min(self.size, 0x10000)), F.get(self.table, point)).otherwise(self.rest[token])
+
+
+def vocabulary(vocab: DataFrame) -> Vocabulary:
     rows = vocab.where("token is not null").select("token", "token_id").limit(MOST_TOKENS + 1).collect()
     if len(rows) > MOST_TOKENS:
-        raise ValueError("the vocabulary is too large for a map")
-    return F.from_json(F.lit("{" + ",".join(f"{json.dumps(r.token)}:{r.token_id}" for r in rows) + "}"), "map<string,int>")
+        raise ValueError("the vocabulary is too large for a literal")
+    return Vocabulary({r.token: r.token_id for r in rows})
 
 
-def char_ids(text: Column, vocab: Column) -> Column:
+def char_ids(text: Column, vocab: Vocabulary) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.coalesce(vocab[c], F.lit(UNK)))).otherwise(F.array().cast(INT))
 
 
@@ -35,7 +49,7 @@ def _fit(a: Column, width: int, fill: int) -> Column:
     return F.slice(F.concat(a.cast(INT), F.array_repeat(F.lit(fill), width)), 1, width)
 
 
-def encoded(text: Column, vocab: Column, width: int) -> Column:
+def encoded(text: Column, vocab: Vocabulary, width: int) -> Column:
     """[CLS] ids [SEP], with at most width - 2 ids, filled with [PAD]."""
     return _fit(F.concat(F.array(F.lit(CLS)), F.slice(char_ids(text, vocab), 1, width - 2), F.array(F.lit(SEP))), width, PAD)
 
@@ -52,7 +66,7 @@ def padded_inserts(inserts: Column, width: int) -> Column:
     return _fit(F.concat(F.array(F.lit(0)), F.slice(inserts.cast(INT), 1, width - 2), F.array(F.lit(0))), width, 0)
 
 
-def sparse_features(tokens: Column, gold: Column, vocab: Column, width: int) -> tuple[Column, Column]:
+def sparse_features(tokens: Column, gold: Column, vocab: Vocabulary, width: int) -> tuple[Column, Column]:
     """(template ids, infill labels): the label of the i-th [MASK] is the i-th gold token's id, all else is ignored."""
     ids = F.transform(tokens, lambda t: F.when(t == "[MASK]", MASK).otherwise(F.coalesce(vocab[t], F.lit(UNK))))
     template = _fit(F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, width - 2), F.array(F.lit(SEP))), width, PAD)
@@ -61,7 +75,7 @@ def sparse_features(tokens: Column, gold: Column, vocab: Column, width: int) ->
     return template, labels
 
 
-def full_features(source: Column, target: Column, n: Column, vocab: Column, width: int) -> tuple[Column, Column]:
+def full_features(source: Column, target: Column, n: Column, vocab: Vocabulary, width: int) -> tuple[Column, Column]:
     """(template ids, infill labels) of [CLS] source [SEP] [MASK] x N [SEP], N cut to what is left of the width."""
     ids = F.slice(char_ids(source, vocab), 1, width - 3)
     room = F.greatest(F.lit(0), F.least(n, F.lit(width - 3) - F.size(ids)))

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 SPAN = 1 << 32
 
 
+def let(value: Column, body) -> Column:
+    """`body` of `value` as a lambda variable: an expression that a lambda of its own names is else evaluated anew for
+    every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def draw(*parts: Column | str | int) -> Column:
     """A uniform integer in [0, 2^32) from the parts; strings are literals, columns are columns."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .draws import let
+
 D = r"\p{Nd}"
 HAN = "[一-龥]"
 # The families' patterns.
@@ -34,11 +36,14 @@ def find_all(text: Column, pattern: str, kind: str, confidence: float = 1.0) ->
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     upto = lambda a, i: F.aggregate(F.slice(a, 1, i), F.lit(0), lambda s, x: s + F.length(x))
 
-    def span(m: Column, i: Column) -> Column:
-        start = upto(between, i + 1) + upto(found, i)
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))
+    def spans(z: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            start = upto(z["between"], i + 1) + upto(z["found"], i)
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))
+
+        return F.transform(z["found"], span)
 
-    return F.transform(found, span)
+    return let(F.struct(found.alias("found"), between.alias("between")), spans)
 
 
 def find_word(text: Column, word: str) -> Column:

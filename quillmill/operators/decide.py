@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import let
 from .features import CLS, MASK, PAD, SEP
 
 INT = "array<int>"
@@ -36,8 +37,8 @@ def budgeted(ops: Column, inserts: Column, most: int = 6, ratio: float = 0.1) ->
     """Insertions under one budget for the sentence, spent from left to right; none after a deletion."""
     cap = insert_cap(F.size(ops), most, ratio)
     wanted = F.zip_with(ops, inserts, lambda o, i: F.when(o != 1, F.greatest(i, F.lit(0))).otherwise(0))
-    before = lambda k: F.aggregate(F.slice(wanted, 1, k), F.lit(0), lambda a, x: a + x)
-    return F.transform(wanted, lambda x, k: F.greatest(F.lit(0), F.least(x, cap - F.least(before(k), cap))))
+    before = lambda w, k: F.aggregate(F.slice(w, 1, k), F.lit(0), lambda a, x: a + x)
+    return let(wanted, lambda w: F.transform(w, lambda x, k: F.greatest(F.lit(0), F.least(x, cap - F.least(before(w, k), cap)))))
 
 
 def sparse_template(ids: Column, ops: Column, inserts: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import draw, let
 
 PAD, UNK, CLS, SEP, MASK, IGNORE = 0, 100, 101, 102, 103, -100
 MOST_TOKENS = 100_000
@@ -71,7 +71,7 @@ def sparse_features(tokens: Column, gold: Column, vocab: Vocabulary, width: int)
     ids = F.transform(tokens, lambda t: F.when(t == "[MASK]", MASK).otherwise(F.coalesce(vocab[t], F.lit(UNK))))
     template = _fit(F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, width - 2), F.array(F.lit(SEP))), width, PAD)
     nth = lambda a, i: F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == MASK))
-    labels = F.transform(template, lambda x, i: F.when(x == MASK, F.coalesce(vocab[F.get(gold, nth(template, i) - 1)], F.lit(UNK))).otherwise(IGNORE))
+    labels = let(template, lambda t: F.transform(t, lambda x, i: F.when(x == MASK, F.coalesce(vocab[F.get(gold, nth(t, i) - 1)], F.lit(UNK))).otherwise(IGNORE)))
     return template, labels
 
 
@@ -81,7 +81,7 @@ def full_features(source: Column, target: Column, n: Column, vocab: Vocabulary,
     room = F.greatest(F.lit(0), F.least(n, F.lit(width - 3) - F.size(ids)))
     wanted = char_ids(target, vocab)
     template = F.concat(F.array(F.lit(CLS)), ids, F.array(F.lit(SEP)), F.array_repeat(F.lit(MASK), room), F.array(F.lit(SEP)))
-    labels = F.concat(F.array_repeat(F.lit(IGNORE), F.size(ids) + 2), F.transform(F.when(room > 0, F.sequence(F.lit(0), room - 1)).otherwise(F.array().cast(INT)), lambda i: F.coalesce(F.get(wanted, i), F.lit(IGNORE))))
+    labels = F.concat(F.array_repeat(F.lit(IGNORE), F.size(ids) + 2), F.slice(F.concat(wanted, F.array_repeat(F.lit(IGNORE), room)), F.lit(1), room))
     return _fit(template, width, PAD), _fit(labels, width, IGNORE)
 
 
@@ -90,7 +90,7 @@ def auxiliary_labels(ids: Column, ops: Column, key: Column, share: float = 0.15,
     kept = F.filter(F.transform(ops, lambda o, i: F.when(o == 0, i)), lambda i: i.isNotNull())
     n = F.floor(F.size(kept) * share).cast("int")
     chosen = F.transform(F.slice(F.array_sort(F.transform(kept, lambda i: F.struct(draw(seed, epoch, key, "aux", i).alias("r"), i.alias("i")))), 1, n), lambda x: x["i"])
-    return F.transform(ids, lambda x, i: F.when(F.array_contains(chosen, i), x).otherwise(IGNORE))
+    return let(chosen, lambda c: F.transform(ids, lambda x, i: F.when(F.array_contains(c, i), x).otherwise(IGNORE)))
 
 
 def packed(df: DataFrame, columns: dict[str, str] = VECTORS) -> DataFrame:

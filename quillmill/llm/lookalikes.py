@@ -195,6 +195,8 @@ class Rewriter:
         for r in set(rep.values()):  # a representative that is itself a sequence member's target stays
             pairs.pop(r, None)
         self.first, self.second = self._automaton(singles), self._automaton(pairs)
+        # ASCII texts stay as they are, unless a double of an ASCII sign is the more frequent one.
+        self.keeps_ascii = not any(m.isascii() for m in [*singles, *pairs])
 
     @staticmethod
     def _automaton(patterns: Mapping[str, str]):
@@ -220,7 +222,7 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
+        if self.keeps_ascii and text.isascii():
             return text
         text = self._sweep(self.first, text)
         for _ in range(3):  # several marks on one letter are taken in one after the other
@@ -332,7 +334,7 @@ def _forms(values: DataFrame, rep: dict[str, str]) -> DataFrame:
         for s in batch.column(2).to_pylist():
             b = s.encode("utf-8", "surrogatepass")
             raw.append(xxhash.xxh3_64_intdigest(b) - (1 << 63))
-            d = xxhash.xxh3_128_intdigest(b if s.isascii() else rewrite(s).encode("utf-8", "surrogatepass"))
+            d = xxhash.xxh3_128_intdigest(rewrite(s).encode("utf-8", "surrogatepass"))
             one.append((d >> 64) - (1 << 63))
             two.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
         return [batch.column(0).cast(pa.int32()), batch.column(1).cast(pa.int64()), raw, one, two]
@@ -378,5 +380,24 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "member string, n long, representative string")
 
 
+def form_sql(text: str) -> str:
+    """The form in SQL: code points by translate(), sequences by canonical composition, and once more what that made."""
+    rep = {m: r for m, r in representatives().items() if len(m) == 1}
+    pairs = sorted(rep.items(), key=lambda x: (x[1] == "", x))  # those without a counterpart come last and vanish
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    old, new = quoted("".join(m for m, _ in pairs)), quoted("".join(r for _, r in pairs))
+    sequences = [(m, r) for m, r in representatives().items() if len(m) > 1 and unicodedata.normalize("NFC", m) == m and unicodedata.normalize("NFC", r) == r and unicodedata.normalize("NFD", r) != m]
+    for m, r in sequences:
+        if m in ("\u0e4d\u0e32", "\u0ecd\u0eb2"):
+            text = f"replace({text}, {quoted(m)}, {quoted(r)})"
+    return f"translate(nfc_normalize(translate({text}, {old}, {new})), {old}, {new})"
+
+
+ORACLES = {
+    "p1_found": f"""
+WITH v AS (SELECT 'sentences' AS tab, 'text' AS field, seg_id AS id, text FROM sentences UNION ALL
+           SELECT 'corruptions', 'original', row_id, original FROM corruptions UNION ALL SELECT 'corruptions', 'corrupted', row_id, corrupted FROM corruptions),
+f AS (SELECT tab, field, id, text, {form_sql('text')} AS form FROM v WHERE text IS NOT NULL)
+SELECT a.tab, a.field, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.tab = b.tab AND a.field = b.field AND a.form = b.form AND a.text <> b.text AND a.id < b.id"""
+}
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
-ORACLES: dict[str, str] = {}

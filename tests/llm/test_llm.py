@@ -33,6 +33,8 @@ def test_forms():
 def test_representative_is_the_most_frequent():
     rep = lookalikes.representatives({"А": 5, "A": 3})
     assert rep["A"] == "А" and "А" not in rep
+    r = lookalikes.Rewriter(rep)
+    assert r("AB") == r("A​B") == r("АB") and lookalikes.Rewriter(lookalikes.representatives()).keeps_ascii
 
 
 def test_equal_looking_pairs(spark):
@@ -321,7 +323,8 @@ def test_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW sentences AS SELECT * FROM '{DATA}/sentences.parquet'")
+    for t in ("sentences", "corruptions"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         assert sorted(map(tuple, queries.QUERIES[name](spark, DATA).collect())) == sorted(con.execute(sql).fetchall())
 

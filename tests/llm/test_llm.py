@@ -220,6 +220,7 @@ def test_garbled(spark):
     assert got[1000] == clean[0] and got[1002] == clean[2] and got[1003] == clean[3] and got[1004] == clean[4]
     short = {"æ\x9c¯": "术", "Íä": "弯", "Ã¥Â¤Â«": "夫"}
     assert {k: mojibake.best_reading(k, model)[2] for k in short} == short
+    assert mojibake.best_reading("��胯�嫘�∼����颯", model)[0] >= 0 and mojibake.suspects(["��胯�嫘�∼����颯"])[0]
     assert mojibake.garbled(df.limit(0), model).count() == 0
 
 

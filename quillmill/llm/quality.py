@@ -136,55 +136,72 @@ def _cover(x: np.ndarray, rule: list[tuple[int, str, float]]) -> np.ndarray:
     return hit
 
 
-def induce_rules(x: np.ndarray, y: np.ndarray, order: list[str], seed: int = 7, most: int = 12) -> list[tuple[list[tuple[int, str, float]], str]]:
+def _grown(x: np.ndarray, y: np.ndarray, most: int = 6) -> list[tuple[int, str, float]]:
+    """A rule for the rows where `y`, one condition of the largest information gain after the other."""
+    rule: list[tuple[int, str, float]] = []
+    while y.any() and not y.all() and len(rule) < most:
+        best, base = (0.0, None), np.log2(y.mean())
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            if len(values) < 2:
+                continue
+            cuts = (values[:-1] + values[1:]) / 2
+            cuts = cuts[np.linspace(0, len(cuts) - 1, min(len(cuts), 64)).astype(int)]
+            for v in cuts:
+                low = x[:, f] <= v
+                for op, hit in (("<=", low), (">", ~low)):
+                    p = (y & hit).sum()
+                    if p and (gain := p * (np.log2(p / hit.sum()) - base)) > best[0]:
+                        best = gain, (f, op, float(v))
+        if best[1] is None:
+            break
+        rule.append(best[1])
+        hit = _cover(x, [best[1]])
+        x, y = x[hit], y[hit]
+    return rule
+
+
+def induce_rules(x: np.ndarray, y: np.ndarray, order: list[str], seed: int = 7, most: int = 16, tries: int = 3) -> list[tuple[list[tuple[int, str, float]], str]]:
     """An ordered rule list by incremental reduced-error pruning: for each class of `order`, rules are grown on two thirds
-    of what is left by information gain, cut back on the last third while that helps, and kept while they are right
-    more often than not; what a rule covers is taken out. Rows that no rule covers are of no class."""
+    of what is left, cut back on the last third while that helps, and kept while they are right more often than not; what
+    a rule covers is taken out. Where the last third has too few of a class to judge by, also in other draws, a rule is
+    grown on all that is left and kept if nine of ten rows that it covers, four at least, are of the class. Rows that no
+    rule covers are of no class."""
     rng, rules = np.random.default_rng(seed), []
     left = np.ones(len(x), bool)
     for label in order:
         for _ in range(most):
-            at = rng.permutation(np.flatnonzero(left))
-            if not (y[at] == label).any():
-                break
-            parts = [np.concatenate(z) for z in zip(*[(a[: (len(a) * 2 + 2) // 3], a[(len(a) * 2 + 2) // 3 :]) for a in (at[y[at] == label], at[y[at] != label])])]
-            grow, prune = parts
-            rule: list[tuple[int, str, float]] = []
-            gx, gy = x[grow], y[grow] == label
-            while gy.any() and not gy.all() and len(rule) < 6:
-                best, base = (0.0, None), np.log2(gy.mean())
-                for f in range(x.shape[1]):
-                    values = np.unique(gx[:, f])
-                    if len(values) < 2:
-                        continue
-                    cuts = (values[:-1] + values[1:]) / 2
-                    cuts = cuts[np.linspace(0, len(cuts) - 1, min(len(cuts), 64)).astype(int)]
-                    for v in cuts:
-                        low = gx[:, f] <= v
-                        for op, hit in (("<=", low), (">", ~low)):
-                            p = (gy & hit).sum()
-                            if p and (gain := p * (np.log2(p / hit.sum()) - base)) > best[0]:
-                                best = gain, (f, op, float(v))
-                if best[1] is None:
+            found = None
+            for _ in range(tries):
+                at = rng.permutation(np.flatnonzero(left))
+                thirds = [(a[: (len(a) * 2 + 2) // 3], a[(len(a) * 2 + 2) // 3 :]) for a in (at[y[at] == label], at[y[at] != label])]
+                grow, prune = (np.concatenate(z) for z in zip(*thirds))
+                rule = _grown(x[grow], y[grow] == label)
+
+                def worth(r):
+                    hit = _cover(x[prune], r)
+                    p, n = (y[prune][hit] == label).sum(), (y[prune][hit] != label).sum()
+                    return (p - n) / (p + n) if p + n else -1.0
+
+                while len(rule) > 1:
+                    shorter = max((rule[:k] for k in range(1, len(rule))), key=worth)
+                    if worth(shorter) < worth(rule):
+                        break
+                    rule = shorter
+                if rule and worth(rule) > 0:
+                    found = rule
                     break
-                rule.append(best[1])
-                hit = _cover(gx, [best[1]])
-                gx, gy = gx[hit], gy[hit]
-
-            def worth(r):
-                hit = _cover(x[prune], r)
-                p, n = (y[prune][hit] == label).sum(), (y[prune][hit] != label).sum()
-                return (p - n) / (p + n) if p + n else -1.0
-
-            while len(rule) > 1:
-                shorter = max((rule[:k] for k in range(1, len(rule))), key=worth)
-                if worth(shorter) < worth(rule):
+            if not found:
+                at = np.flatnonzero(left)
+                rule = _grown(x[at], y[at] == label)
+                hit = _cover(x[at], rule) if rule else np.zeros(len(at), bool)
+                if hit.sum() < 4 or (y[at][hit] == label).mean() < 0.9:
                     break
-                rule = shorter
-            if not rule or worth(rule) <= 0:
+                found = rule
+            rules.append((found, label))
+            left &= ~_cover(x, found)
+            if not (y[left] == label).any():
                 break
-            rules.append((rule, label))
-            left &= ~_cover(x, rule)
     return rules
 
 

@@ -84,3 +84,13 @@ def editable_positions(text: Column, spans: Column | None = None) -> Column:
     free = (lambda c, i: ok(c)) if spans is None else lambda c, i: ok(c) & ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"]))
     at = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(free(c, i), i)), lambda i: i.isNotNull())
     return F.when(F.length(text) > 0, at).otherwise(F.array().cast("array<int>"))
+
+
+def tagged(text: Column, spans: Column) -> Column:
+    """The text with `<type>…</type>` around each of its merged spans (structs start, end, type, in order)."""
+    before = lambda i: F.when(i == 0, 0).otherwise(F.element_at(spans, i)["end"])
+    piece = lambda s, i: F.concat(
+        F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit("<"), s["type"], F.lit(">"), F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("</"), s["type"], F.lit(">")
+    )
+    rest = F.when(F.size(spans) > 0, F.element_at(spans, -1)["end"]).otherwise(0)
+    return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, rest + 1, F.length(text)))

@@ -92,3 +92,17 @@ def applied(ops: Column) -> Column:
 
 def op_counts(ops: Column) -> list[Column]:
     return [F.size(F.filter(ops, lambda o, k=k: o["op_type"] == k)).alias(n) for k, n in enumerate(("n_keep", "n_delete", "n_replace", "n_insert"))]
+
+
+def shown(ops: Column) -> Column:
+    """The script for reading: a kept as it is, [-a], [a>b], [+b]."""
+    return F.array_join(
+        F.transform(
+            ops,
+            lambda o: F.when(o["op_type"] == DELETE, F.concat(F.lit("[-"), o["source_char"], F.lit("]")))
+            .when(o["op_type"] == REPLACE, F.concat(F.lit("["), o["source_char"], F.lit(">"), o["target_char"], F.lit("]")))
+            .when(o["op_type"] == INSERT, F.concat(F.lit("[+"), o["target_char"], F.lit("]")))
+            .otherwise(o["source_char"]),
+        ),
+        "",
+    )

@@ -117,3 +117,13 @@ def unpacked(df: DataFrame, width: int, columns: dict[str, str] = VECTORS) -> Da
         return pd.DataFrame(out)
 
     return reduce(lambda d, c: d.withColumn(c, F.col("_v")[c]), columns, df.withColumn("_v", unpack("record"))).drop("_v")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """The rows of an epoch in an order of their own, the same whatever the partitions were: a range sort by draws."""
+    return df.withColumn("_r", draw(seed, epoch, F.col(key))).orderBy("_r", key).drop("_r")
+
+
+def shard_of(key: Column, shards: int, seed: int = 42) -> Column:
+    """The rank that a row belongs to."""
+    return (draw(seed, "shard", key) % shards).cast("int")

@@ -13,6 +13,7 @@ from ..operators import align, confusion, corrupt, decide, features, labels, sta
 from ..runtime import checkpoint_dir, spread, table
 from ..sources import readers
 from ..streaming import stream
+from . import pipeline
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -265,6 +266,14 @@ def protected_coverage(spark, d):
     return rows.where("length(text) > 0").join(merged, "seg_id", "left").select("seg_id", (F.coalesce("n", F.lit(0)) / F.length("text")).alias("share"))
 
 
+@query()
+def tagged_spans(spark, d):
+    """Texts with their protected spans in tags."""
+    rows = _sents(spark, d).where("text is not null")
+    merged = protect.merge_spans(protect.detect(rows, "seg_id", "text", "default"), "seg_id").groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
+    return rows.join(merged, "seg_id").select("seg_id", protect.tagged(F.col("text"), F.col("spans")).alias("tagged"))
+
+
 # ---- confusion sets
 
 
@@ -492,6 +501,11 @@ def target_length(spark, d):
     return _samples(spark, d, "op_labels", "insert_labels").where("op_labels is not null and insert_labels is not null").select("row_id", labels.target_length(F.col("op_labels"), F.col("insert_labels")).cast("long").alias("n"))
 
 
+@query()
+def align_shown(spark, d):
+    return _aligned(spark, d).select("row_id", align.shown(F.col("ops")).alias("script"))
+
+
 # ---- features
 
 _VOCAB = "(SELECT map_from_entries(list((token, token_id))) FROM vocab)"
@@ -548,6 +562,16 @@ def pack_record_size(spark, d):
     return rows.where("record is not null").select("row_id", F.octet_length("record").cast("long").alias("n_bytes"))
 
 
+@query(f"SELECT shard, count(*)::BIGINT AS n FROM (SELECT {_sql_draw('42', chr(39) + 'shard' + chr(39), 'row_id')} % 8 AS shard FROM tokenized_samples) GROUP BY shard")
+def shard_sizes(spark, d):
+    return _samples(spark, d).select(features.shard_of(F.col("row_id"), 8).cast("long").alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_id FROM tokenized_samples")
+def shuffled_epoch(spark, d):
+    return features.shuffled(_samples(spark, d), "row_id", epoch=1)
+
+
 # ---- decision rules
 
 _P3 = "[{0} % 100 / 100.0, {1} % 100 / 100.0, {2} % 100 / 100.0]".format(*[_sql_draw("row_id", f"'p{i}'") for i in range(3)])
@@ -634,6 +658,22 @@ def extract_edits(spark, d):
     return rows.select("row_id", F.col("position").cast("long"), "type", F.col("count").cast("long"))
 
 
+@query()
+def correct_with_plug(spark, d):
+    """The whole prediction path around plugged functions: drawn op and insertion probabilities, masks filled with one id."""
+    rows = _samples(spark, d, "input_ids").where("input_ids is not null").select(F.col("row_id").alias("id"), F.filter("input_ids", lambda x: ~x.isin(0, 101, 102)).cast("array<int>").alias("ids"))
+
+    def plan(r):
+        p = lambda slot, n: F.transform("ids", lambda x: F.transform(F.array(*map(F.lit, range(n))), lambda k: draw(F.col("id"), slot, x, k) / draws.SPAN))
+        return r.select("id", p("op", 3).alias("p_op"), p("ins", 4).alias("p_insert"))
+
+    def fill(r):
+        return r.select("id", F.transform("ids", lambda x: F.when(x == features.MASK, 104).otherwise(x)).alias("filled"), F.transform("ids", lambda x: draw(F.col("id"), "c", x) / draws.SPAN).alias("confidence"))
+
+    out = pipeline.Corrector(plan, fill).correct(rows)
+    return out.select("id", _joined(F.col("prediction")).alias("prediction"), F.round("confidence", 6).alias("confidence"), "is_changed", F.size("edits").alias("n_edits"))
+
+
 @query(
     "SELECT s::BIGINT AS step, round(CASE WHEN s < 10 THEN s / 10.0 ELSE greatest(0.0, (100 - s) / 90.0) END, 6)::DOUBLE AS linear, "
     "round(CASE WHEN s < 10 THEN s / 10.0 ELSE greatest(0.0, 0.5 * (1 + cos(pi() * (s - 10) / 90.0))) END, 6)::DOUBLE AS cosine, round(CASE WHEN s < 10 THEN s / 10.0 ELSE 1.0 END, 6)::DOUBLE AS constant FROM range(0, 101) t(s)"

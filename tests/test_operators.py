@@ -181,3 +181,24 @@ def test_settings_round_trip():
     for s in config.PRESETS.values():
         assert config.Settings.from_json(s.to_json()) == s
     assert config.PRESETS["default"].with_(errors={"seed": 7}).errors.seed == 7
+
+
+def test_shown_and_tagged(spark):
+    from quillmill.functions import protect
+
+    r = align.align(spark.createDataFrame([("甲乙丙", "甲丁丙戊")], "s string, t string"), "s", "t").select(align.shown(F.col("ops")).alias("x")).first()
+    assert r.x == "甲[乙>丁]丙[+戊]"
+    df = spark.createDataFrame([("共100万元，增3.5%", [(1, 6, "amount"), (8, 12, "amount")]), ("甲", [])], "t string, s array<struct<start:int,end:int,type:string>>")
+    assert [x.x for x in df.select(protect.tagged(F.col("t"), F.col("s")).alias("x")).collect()] == ["共<amount>100万元</amount>，增<amount>3.5%</amount>", "甲"]
+
+
+def test_corrector(spark):
+    from quillmill.plans import pipeline
+
+    rows = spark.createDataFrame([(1, [7, 8, 9]), (2, [7])], "id int, ids array<int>")
+    sure = lambda k, n: F.array(*[F.lit(float(i == k)) for i in range(n)])
+    plan = lambda r: r.select("id", F.transform("ids", lambda x: F.when(x == 8, sure(2, 3)).when(x == 9, sure(1, 3)).otherwise(sure(0, 3))).alias("p_op"), F.transform("ids", lambda x: sure(0, 4)).alias("p_insert"))
+    fill = lambda r: r.select("id", F.transform("ids", lambda x: F.when(x == 103, 55).otherwise(x)).alias("filled"), F.transform("ids", lambda x: F.when(x.isin(103, 55), 0.1).otherwise(0.9)).alias("confidence"))
+    got = {r.id: r for r in pipeline.Corrector(plan, fill).correct(rows).collect()}
+    assert got[1].prediction == [7, 55] and got[1].is_changed and [(e.position, e.type) for e in got[1].edits] == [(1, "REPLACE"), (2, "DELETE")]
+    assert got[2].prediction[0] == 55 and not got[2].edits  # refined: its only id is the least sure

@@ -252,5 +252,24 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(docs, "doc_id", "text", common)
 
 
-QUERIES = {"p9_found": p9_found, "p9_stats": p9_stats}
-ORACLES: dict[str, str] = {}
+def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of lines and signs alone."""
+    return p9_stats(spark, sf_dir).select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "lines", *[F.round(c, 9).alias(c) for c in ("line_length", "end_share", "bullet_share", "distinct_lines", "digit_share", "mark_share", "distinct_chars")])
+
+
+_SQL_END, _SQL_BULLET = (p.replace("'", "''") for p in (END, BULLET))
+ORACLES = {
+    "p9_lines": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x)) > 0) AS l FROM documents),
+n AS (SELECT *, len(l) AS k, length(t) AS n FROM d)
+SELECT doc_id, n::BIGINT AS n_chars, k::DOUBLE AS lines,
+  round(CASE WHEN k > 0 THEN list_sum(list_transform(l, lambda x: length(x))) / k END, 9)::DOUBLE AS line_length,
+  round(CASE WHEN k > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '{_SQL_END}'))) / k END, 9)::DOUBLE AS end_share,
+  round(CASE WHEN k > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '{_SQL_BULLET}'))) / k END, 9)::DOUBLE AS bullet_share,
+  round(CASE WHEN k > 0 THEN len(list_distinct(l)) / k END, 9)::DOUBLE AS distinct_lines,
+  round(CASE WHEN n > 0 THEN (n - length(regexp_replace(t, '\p{{Nd}}+', '', 'g'))) / n END, 9)::DOUBLE AS digit_share,
+  round(CASE WHEN n > 0 THEN (n - length(regexp_replace(t, '[。！？.!?…।，,、；;：:]+', '', 'g'))) / n END, 9)::DOUBLE AS mark_share,
+  (CASE WHEN n > 0 THEN len(list_distinct(string_split(t, ''))) ELSE 1 END)::DOUBLE AS distinct_chars
+FROM n"""
+}
+QUERIES = {"p9_found": p9_found, "p9_stats": p9_stats, "p9_lines": p9_lines}

@@ -162,6 +162,7 @@ def test_cross_split_pairs(spark):
                             want.add((min(a[0], b[0]), max(a[0], b[0])))
     want.add((n + 4, n + 5))
     assert not got - want and len(want - got) <= 0.01 * len(want)
+    assert {tuple(r) for r in overlaps.cross_split_pairs(df, most=50).collect()} == got  # overfull partitions are split up
     assert overlaps.cross_split_pairs(df.limit(0)).count() == 0
 
 
@@ -324,7 +325,7 @@ def test_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("sentences", "corruptions"):
+    for t in ("sentences", "corruptions", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         assert sorted(map(tuple, queries.QUERIES[name](spark, DATA).collect())) == sorted(con.execute(sql).fetchall())

@@ -1,10 +1,11 @@
 """Problem 4: records of evaluation splits that stand, exactly or almost, in the training split.
 
-A suffix array over the texts of both splits, partitioned by how suffixes begin: suffixes are sampled where both of two
-texts that share a stretch would sample them (the least gram hash of each window), every partition sorts its own by
-their first grams, and suffixes next to each other that begin alike, one of each side, reveal a shared stretch. Pairs of
-records whose stretches, places, lengths and characters allow it are verified by edit distance. Texts are compared in
-the form of problem 1 and stand once, however many rows have them.
+Exact for the allowed edits, by pigeonhole. A training text of n code points can be n // 9 edits from its longest partner, so
+of n // 9 + 1 disjoint pieces one at least stands unchanged in any partner. All pieces of the training texts are looked up
+among the evaluation texts' grams of the pieces' length, at every place to which the edits beside a piece can move it. Pieces
+of the first half count places from the start and those of the second half from the end, as edits move these least. Both are
+partitioned by their hash. Pairs of texts whose pieces, places, lengths and character counts allow it are verified by edit
+distance. Texts are compared in the form of problem 1 and stand once, however many rows have them.
 """
 
 from __future__ import annotations
@@ -19,21 +20,19 @@ from ..runtime import checkpointed, over_batches, spread, table
 from .leaks import _expand, gram_hashes
 from .lookalikes import PointFolder
 
-# Sampling: of the suffixes of a text over SHORT code points one of each window, by its first code points. As letters tell
-# less than ideographs, alphabetic texts have longer ones: (first code points, window) by script. In texts up to SHORT + 2
-# all suffixes are taken, by their first FEW. Two texts that share first + window - 1 code points in a row always share a
-# sampled suffix.
-DENSE, SPARSE, FEW, SHORT = (6, 8), (20, 12), 4, 24
-# Texts with so many ideographs and kana are sampled densely, those with fewer sparsely, those between both ways.
-MIXED = 0.35, 0.45
+# Code points looked up of each piece, by the least length of the training text: no more than the text's pieces have room for.
+PIECES = ((9, 4), (12, 6), (28, 7), (64, 8))
 # A share of the longer text may differ.
 EDITS = 10
 MOST_BROADCAST = 1_000_000
-# Suffixes (of 25 bytes) that one task may hold before it splits its partition up, and parts of the training side then.
-MOST_SUFFIXES, SALT = 4_000_000, 4
+# Pieces and grams (of 29 bytes) that one task may hold before it splits its partition up, and parts of the training side then.
+MOST_ENTRIES, SALT = 4_000_000, 4
 FIELDS = ("original", "corrupted")
-ENTRY = np.dtype([("gram", "<u4"), ("place", "<u2"), ("length", "<u2"), ("side", "u1"), ("id", "<u8"), ("sketch", "<u8")])
-LETTERS = 0x80  # bit of `side`: sampled sparsely, with a sketch of counts
+ENTRY = np.dtype([("gram", "<u4"), ("place", "<u4"), ("length", "<u4"), ("side", "u1"), ("id", "<u8"), ("sketch", "<u8")])
+# Bits of `side` over those of the fields: which of PIECES, and that the place counts from the end.
+KIND, FROM_END = 16, 64
+# Bits of the fields on each side.
+TRAIN, EVAL = 0b0101, 0b1010
 
 
 def _folded(texts: list[str], folder: PointFolder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,46 +48,62 @@ def _text_ids(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return [x >> 64 for x in both], [x & 0xFFFFFFFFFFFFFFFF for x in both]
 
 
-def sampled_suffixes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, dense: tuple[int, int] = DENSE, sparse_by: tuple[int, int] = SPARSE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash of the first code points, whether sparse) of the sampled suffixes."""
-    owner = np.repeat(np.arange(starts.size), ends - starts)
-    ideographs = np.concatenate([[0], np.cumsum((points >= 0x2E80) & (points < 0xA000) | (points > 0xFF00))])
-    share = (ideographs[ends] - ideographs[starts]) / np.maximum(ends - starts, 1)
-    long = ends - starts >= SHORT
+def _gram_kinds(points: np.ndarray, owner: np.ndarray):
+    """(kind, code points, hashes, whether a gram lies within one text) of each of PIECES that the points have room for."""
+    for kind, (_, q) in enumerate(PIECES):
+        if points.size >= q:
+            h = gram_hashes(points, q)
+            yield kind, q, h, owner[: h.size] == owner[q - 1 :]
+
+
+def _tagged(h: np.ndarray, kind: int, from_end: bool) -> np.ndarray:
+    return h ^ np.uint64(0x9E3779B97F4A7C15 * (2 * kind + from_end) & 0xFFFFFFFFFFFFFFFF)
+
+
+def training_pieces(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, bits for `side`) of all pieces of the wanted texts."""
+    n = ends - starts
+    number = n // (EDITS - 1) + 1
+    first = (number + 1) // 2
+    upto = [*[least for least, _ in PIECES[1:]], np.iinfo(np.int64).max]
     out = []
-    for sparse, (gram, width), wanted in ((False, dense, share >= MIXED[0]), (True, sparse_by, share < MIXED[1])):
-        wanted = wanted & long
-        if not wanted.any() or points.size < gram + width - 1:
-            continue
-        h = gram_hashes(points, gram)
-        least = h[: h.size - width + 1].copy()
-        at = np.zeros(least.size, np.int8)
-        for i in range(1, width):
-            other = h[i : i + least.size]
-            lower = other < least
-            least[lower] = other[lower]
-            at[lower] = i
-        inside = (owner[: least.size] == owner[gram + width - 2 :]) & wanted[owner[: least.size]]
-        chosen = np.unique((np.arange(least.size) + at)[inside])
-        out.append((owner[chosen], chosen - starts[owner[chosen]], h[chosen], np.full(chosen.size, sparse)))
-    short = ends - starts <= SHORT + 2
-    if short.any() and points.size >= FEW:
-        h = gram_hashes(points, FEW)
-        place = np.flatnonzero((owner[: h.size] == owner[FEW - 1 :]) & short[owner[: h.size]])
-        out.append((owner[place], place - starts[owner[place]], h[place] ^ np.uint64(0x5555555555555555), np.zeros(place.size, bool)))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def character_bits(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of which characters a text has: one edit changes two of them at most."""
-    bit = np.uint64(1) << ((points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
-    out = np.zeros(starts.size, np.uint64)
-    some = ends > starts
-    if some.any():
-        out[some] = np.bitwise_or.reduceat(bit, starts[some])
-    return out
+    for kind, q, h, _ in _gram_kinds(points, np.zeros(points.size, np.int8)):
+        own = np.flatnonzero(wanted & (n >= PIECES[kind][0]) & (n < upto[kind]))
+        for from_end, count in ((False, first), (True, number - first)):
+            text, i = _expand(np.zeros(own.size, np.int64), count[own])
+            text = own[text]
+            at = ends[text] - q * (i + 1) if from_end else starts[text] + q * i
+            out.append((text, q * i, _tagged(h[at], kind, from_end), np.full(text.size, kind * KIND + from_end * FROM_END, np.uint8)))
+    return _concatenated(out)
+
+
+def evaluation_grams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, bits for `side`) of all grams of the wanted texts that a piece of a partner can be: piece i of q
+    code points stands at q * i and is moved by i places at most."""
+    m = ends - starts
+    owner = np.repeat(np.arange(starts.size), m)
+    low, high = m - m // EDITS, m + m // (EDITS - 1)  # lengths of partners
+    upto = [*[least for least, _ in PIECES[1:]], np.iinfo(np.int64).max]
+    out = []
+    for kind, q, h, inside in _gram_kinds(points, owner):
+        longest = np.minimum(high, upto[kind] - 1)
+        some = wanted & (m >= EDITS - 1) & (longest >= np.maximum(low, PIECES[kind][0]))
+        number = np.where(some, longest // (EDITS - 1) + 1, 0)
+        first = (number + 1) // 2
+        at = np.flatnonzero(inside & some[owner[: h.size]])
+        text = owner[at]
+        for from_end, count in ((False, first), (True, number // 2)):
+            place = ends[text] - q - at if from_end else at - starts[text]
+            least = (place + q) // (q + 1)  # the first piece that can be moved here
+            ok = (least <= place // (q - 1)) & (least < count[text])
+            out.append((text[ok], place[ok], _tagged(h[at[ok]], kind, from_end), np.full(int(ok.sum()), kind * KIND + from_end * FROM_END, np.uint8)))
+    return _concatenated(out)
+
+
+def _concatenated(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def character_counts(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -116,8 +131,8 @@ def _distinct(batch) -> tuple[list[str], np.ndarray]:
     return list(sides), np.array(list(sides.values()), np.uint8)
 
 
-def suffix_blocks(values: DataFrame, partitions: int, dense: tuple[int, int] = DENSE, sparse_by: tuple[int, int] = SPARSE) -> DataFrame:
-    """(part, block): the sampled suffixes of each batch, packed by the partition that sorts them."""
+def gram_blocks(values: DataFrame, partitions: int) -> DataFrame:
+    """(part, block): the pieces and grams of each batch, packed by the partition that joins them."""
 
     def run(batches):
         folder = PointFolder()
@@ -126,14 +141,13 @@ def suffix_blocks(values: DataFrame, partitions: int, dense: tuple[int, int] = D
                 continue
             texts, sides = _distinct(batch)
             points, starts, ends = _folded(texts, folder)
-            text, place, h, sparse = sampled_suffixes(points, starts, ends, dense, sparse_by)
-            ids = np.array(_text_ids(points, starts, ends)[0], np.uint64)
+            ids, sketch = np.array(_text_ids(points, starts, ends)[0], np.uint64), character_counts(points, starts, ends)
+            t, v = (f(points, starts, ends, sides & bits != 0) for f, bits in ((training_pieces, TRAIN), (evaluation_grams, EVAL)))
+            text, place, h, more = _concatenated([t, v])
             e = np.empty(text.size, ENTRY)
             e["gram"] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            e["place"] = np.minimum(place, 0xFFFF)
-            e["length"] = np.minimum(ends - starts, 0xFFFF)[text]
-            e["side"], e["id"] = sides[text] | np.where(sparse, LETTERS, 0).astype(np.uint8), ids[text]
-            e["sketch"] = np.where(sparse, character_counts(points, starts, ends)[text], character_bits(points, starts, ends)[text])
+            e["place"], e["length"], e["id"], e["sketch"] = place, (ends - starts)[text], ids[text], sketch[text]
+            e["side"] = sides[text] & np.repeat(np.array([TRAIN, EVAL], np.uint8), [t[0].size, v[0].size]) | more
             part = (h >> np.uint64(32)).astype(np.int64) % partitions
             order = np.lexsort((e["gram"], part))
             e, part = e[order], part[order]
@@ -153,69 +167,81 @@ def _unpacked(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY)[:, 0]
 
 
-def alike_neighbours(e: np.ndarray, chunk: int = 2_000_000) -> np.ndarray:
-    """Pairs of text ids (evaluation, training) of a sorted partition whose suffixes begin alike, at places and in texts
-    that few enough edits could make of each other. Exact for what it is given: no group is capped."""
-    train, evals = e[(e["side"] & 0b0101) != 0], e[(e["side"] & 0b1010) != 0]
+def _once(e: np.ndarray) -> np.ndarray:
+    """Without the repetitions that a text of several batches makes."""
+    e = e[np.lexsort((e["side"], e["place"], e["id"], e["gram"]))]
+    same = np.ones(max(0, e.size - 1), bool)
+    for f in ("gram", "id", "place", "side"):
+        same &= e[f][1:] == e[f][:-1]
+    return e[np.concatenate([np.ones(min(1, e.size), bool), ~same])]
+
+
+def alike_pairs(e: np.ndarray, chunk: int = 2_000_000) -> np.ndarray:
+    """Pairs of text ids (evaluation, training) of a partition of which a gram is a piece, at places and in texts that few
+    enough edits could make of each other. Exact for what it is given: no group is capped."""
+    train, evals = _once(e[(e["side"] & TRAIN) != 0]), _once(e[(e["side"] & EVAL) != 0])
     if not train.size or not evals.size:
         return np.zeros((0, 2), np.uint64)
-    evals = np.unique(evals)
-    train = np.unique(train)
-    width = 8
-    key = (train["gram"].astype(np.uint64) << np.uint64(32)) | ((train["length"] // width).astype(np.uint64) << np.uint64(16)) | train["place"].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, train = key[order], train[order]
-    grams = np.unique(train["gram"])
+    grams, group = np.unique(train["gram"], return_inverse=True)
     at = np.minimum(np.searchsorted(grams, evals["gram"]), grams.size - 1)
-    evals = evals[grams[at] == evals["gram"]]
-    n = evals["length"].astype(np.int64)
-    k = n // (EDITS - 1)
-    low, high = np.maximum(n - k, 0) // width, np.minimum(n + k, 0xFFFF) // width
-    row, bucket = _expand(low, high - low + 1)
-    base = (evals["gram"][row].astype(np.uint64) << np.uint64(32)) | (bucket.astype(np.uint64) << np.uint64(16))
-    place = evals["place"][row].astype(np.int64)
-    first = np.searchsorted(key, base | np.maximum(place - k[row], 0).astype(np.uint64))
-    last = np.searchsorted(key, base | np.minimum(place + k[row], 0xFFFF).astype(np.uint64), "right")
-    count = last - first
+    ok = grams[at] == evals["gram"]
+    evals, at = evals[ok], at[ok]
+    # Training pieces in order of gram, place and length; a row for each piece that can be moved to a gram's place.
+    order = np.lexsort((train["length"], train["place"], group))
+    train, group = train[order], group[order]
+    slot = (group.astype(np.uint64) << np.uint64(32)) | train["place"].astype(np.uint64)
+    slots, begin = np.unique(slot, return_index=True)
+    begin = np.append(begin, train.size)
+    q = np.array([q for _, q in PIECES])[(evals["side"] // KIND) & 3]
+    place, m = evals["place"].astype(np.int64), evals["length"].astype(np.int64)
+    base = at.astype(np.uint64) << np.uint64(32)
+    first = np.searchsorted(slots, base | (q * ((place + q) // (q + 1))).astype(np.uint64))
+    last = np.searchsorted(slots, base | (q * (place // (q - 1))).astype(np.uint64), "right")
+    row, cell = _expand(first, np.maximum(last - first, 0))
+    # Within a slot the lengths are in order.
+    dense = np.repeat(np.arange(slots.size, dtype=np.uint64), np.diff(begin)) << np.uint64(32) | train["length"].astype(np.uint64)
+    low, high = m - m // EDITS, m + m // (EDITS - 1)
+    base = cell.astype(np.uint64) << np.uint64(32)
+    first = np.searchsorted(dense, base | low[row].astype(np.uint64))
+    count = np.searchsorted(dense, base | high[row].astype(np.uint64), "right") - first
     some = count > 0
     row, first, count = row[some], first[some], count[some]
     found = []
     cuts = np.flatnonzero(np.diff(np.cumsum(count) // chunk)) + 1 if count.size else []
     for lo, hi in zip([0, *cuts], [*cuts, row.size]):
         r, t = _expand(first[lo:hi], count[lo:hi])
-        a, b = evals[row[lo:hi][r]], train[t]
-        most = np.maximum(a["length"], b["length"]).astype(np.int64) // EDITS
-        a_side, b_side = a["side"], b["side"]
-        shared = ((a_side >> 1) & b_side & 0b0101) != 0  # one field on both sides
-        long = (a["length"] == 0xFFFF) | (b["length"] == 0xFFFF)  # lengths and places unknown beyond this
-        ok = shared & (a["id"] != b["id"])
-        ok &= long | (np.abs(a["length"].astype(np.int64) - b["length"]) <= most) & (np.abs(a["place"].astype(np.int64) - b["place"]) <= most)
-        ok &= (a_side ^ b_side) & LETTERS == 0
-        a, b, most = a[ok], b[ok], most[ok]
-        sparse = (a["side"] & LETTERS) != 0
-        unlike = np.empty(a.size, np.int64)
-        unlike[sparse] = count_distance(a["sketch"][sparse], b["sketch"][sparse])
-        unlike[~sparse] = np.bitwise_count(a["sketch"][~sparse] ^ b["sketch"][~sparse])
-        ok = (unlike <= 2 * most) | (a["length"] == 0xFFFF) | (b["length"] == 0xFFFF)
+        r = row[lo:hi][r]
+        a_length, b_length = m[r], train["length"][t].astype(np.int64)
+        most = np.maximum(a_length, b_length) // EDITS
+        over = a_length - b_length
+        i = train["place"][t].astype(np.int64) // q[r]  # pieces before this one, or behind it
+        moved = place[r] - train["place"][t]
+        a_side, b_side = evals["side"][r], train["side"][t]
+        ok = ((a_side >> 1) & b_side & TRAIN) != 0  # one field on both sides
+        ok &= (a_side ^ b_side) < KIND
+        # Some unchanged piece has just as many edits in front of it as pieces (where edits less pieces first fall below 0).
+        front = np.where(a_side & FROM_END, b_length // (EDITS - 1) - i, i)
+        shift = np.where(a_side & FROM_END, over - moved, moved)
+        ok &= (np.abs(shift) <= front) & (np.abs(over - shift) <= most - front)
+        r, t, most, over = r[ok], t[ok], most[ok], over[ok]
+        a, b = evals["id"][r], train["id"][t]
+        ok = (a != b) & (count_distance(evals["sketch"][r], train["sketch"][t]) <= 2 * most - np.abs(over))
         if ok.any():
-            found.append(np.unique(np.stack([a["id"][ok], b["id"][ok]], 1), axis=0))
+            found.append(np.unique(np.stack([a[ok], b[ok]], 1), axis=0))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
 
 
 def split_up(e: np.ndarray, partitions: int) -> list[tuple[int, bytes]]:
-    """The suffixes of an overfull partition, packed for `partitions` smaller ones: by beginning, length of the text (in
-    steps of a quarter) and SALT parts of the training side. Evaluation suffixes go to all parts that may hold a match."""
+    """The entries of an overfull partition, packed for `partitions` smaller ones: by beginning, length of the text (in
+    steps of a quarter) and SALT parts of the training side. Evaluation grams go to all parts that may hold a match."""
     step = lambda n: np.floor(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int64)
     n = e["length"].astype(np.int64)
-    train, evals = (e["side"] & 0b0101) != 0, (e["side"] & 0b1010) != 0
-    t = e[train].copy()
-    t["side"] &= 0b0101 | LETTERS
+    train, evals = (e["side"] & TRAIN) != 0, (e["side"] & EVAL) != 0
     low, high = step(n[evals] - n[evals] // EDITS - 1), step(n[evals] + n[evals] // (EDITS - 1) + 1)
     row, bucket = _expand(low, high - low + 1)
     row, bucket, salt = np.repeat(row, SALT), np.repeat(bucket, SALT), np.tile(np.arange(SALT), row.size)
-    v = e[evals][row]
-    v["side"] &= 0b1010 | LETTERS
-    both = np.concatenate([t, v])
+    t = e[train]
+    both = np.concatenate([t, e[evals][row]])
     where = np.concatenate([step(n[train]) * SALT + (t["id"] % np.uint64(SALT)).astype(np.int64), bucket * SALT + salt])
     part = ((both["gram"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + where.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % partitions
     order = np.argsort(part, kind="stable")
@@ -225,7 +251,7 @@ def split_up(e: np.ndarray, partitions: int) -> list[tuple[int, bytes]]:
 
 
 def _searched(blocks: DataFrame, split_into: int | None, most: int) -> DataFrame:
-    """(id_e, id_t, part, block): the pairs of each partition, or, of a partition of more than `most` suffixes, its blocks
+    """(id_e, id_t, part, block): the pairs of each partition, or, of a partition of more than `most` entries, its blocks
     split up, as they come in: no more than that is ever held."""
 
     def rows(pairs: np.ndarray, blocks: list[tuple[int, bytes]]):
@@ -248,16 +274,16 @@ def _searched(blocks: DataFrame, split_into: int | None, most: int) -> DataFrame
                 else:
                     held.setdefault(p, []).append(e)
         for parts in held.values():
-            yield rows(alike_neighbours(np.concatenate(parts)), [])
+            yield rows(alike_pairs(np.concatenate(parts)), [])
 
     return blocks.mapInArrow(run, "id_e long, id_t long, part int, block binary")
 
 
-def candidates(values: DataFrame, dense: tuple[int, int] = DENSE, sparse_by: tuple[int, int] = SPARSE, most: int = MOST_SUFFIXES) -> DataFrame:
-    """(id_e, id_t): pairs of different texts that share a sampled suffix's beginning. Partitions that a common beginning
-    overfills are split up and searched in a second round."""
+def candidates(values: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """(id_e, id_t): pairs of different texts that share a piece where few enough edits leave it. Partitions that a common
+    piece overfills are split up and searched in a second round."""
     partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    blocks = suffix_blocks(values, partitions, dense, sparse_by).repartitionById(partitions, "part")  # as numbered: none gets two by chance
+    blocks = gram_blocks(values, partitions).repartitionById(partitions, "part")  # as numbered: none gets two by chance
     first = checkpointed(_searched(blocks, partitions * 8, most))
     pairs = first.where("part is null")
     hot = first.where("part is not null").select("part", "block")
@@ -266,9 +292,9 @@ def candidates(values: DataFrame, dense: tuple[int, int] = DENSE, sparse_by: tup
     return pairs.select("id_e", "id_t").distinct()
 
 
-def near_pairs(values: DataFrame, **sampling: tuple[int, int]) -> DataFrame:
+def near_pairs(values: DataFrame, **limits: int) -> DataFrame:
     """(id_e, id_t): pairs of different texts within the allowed edits, verified on the whole forms."""
-    pairs = checkpointed(candidates(values, **sampling))
+    pairs = checkpointed(candidates(values, **limits))
     ids = pairs.select(F.explode(F.array("id_e", "id_t")).alias("id")).distinct()
     schema = pa.schema([("id", pa.int64()), ("form", pa.string())])
 
@@ -288,7 +314,7 @@ def near_pairs(values: DataFrame, **sampling: tuple[int, int]) -> DataFrame:
     return joined.withColumn("most", most).where(F.expr("levenshtein(e, t, most) >= 0")).select("id_e", "id_t")  # in a band
 
 
-def cross_split_pairs(records: DataFrame, **sampling: tuple[int, int]) -> DataFrame:
+def cross_split_pairs(records: DataFrame, **limits: int) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the rows of training and evaluation splits whose texts of one field are equal or almost
     equal. `records` has (row_id, split, original, corrupted); a null text or split is no case, empty texts equal each
     other. Rows with equal texts are brought together by hash joins, whose work is that of the result."""
@@ -305,7 +331,7 @@ def cross_split_pairs(records: DataFrame, **sampling: tuple[int, int]) -> DataFr
 
     rows = checkpointed(over_batches(flat, members, schema, "row_id long, eval int, field int, h1 long, h2 long", PointFolder))
     # Side bits: 1 and 4 training, 2 and 8 evaluation, of the two fields.
-    near = checkpointed(near_pairs(flat.select("text", F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), F.col("field") * 2 + F.col("eval") + 1).alias("side")), **sampling))
+    near = checkpointed(near_pairs(flat.select("text", F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), F.col("field") * 2 + F.col("eval") + 1).alias("side")), **limits))
     e, t = rows.where("eval = 1"), rows.where("eval = 0")
     equal = e.select(F.col("row_id").alias("a"), "field", "h1", "h2").join(t.select(F.col("row_id").alias("b"), "field", "h1", "h2"), ["field", "h1", "h2"])
     e1 = e.select(F.col("row_id").alias("a"), "field", F.col("h1").alias("id_e"))

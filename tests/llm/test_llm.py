@@ -166,6 +166,30 @@ def test_cross_split_pairs(spark):
     assert overlaps.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_spread_edits_lose_no_pair(spark):
+    """As many edits as are allowed, spread evenly: no longer stretch is left unchanged."""
+    rng = random.Random(3)
+    rows, want = [], set()
+    for k in range(80):
+        n = rng.randint(10, 160) if k else 9
+        letters = "abcdefghijklmnop " if k % 2 else [chr(0x4E00 + i) for i in range(800)]
+        t = [rng.choice(letters) for _ in range(n)]
+        s = list(t)
+        if k % 4 < 2:
+            for i in range(n // 10):
+                s[n * (i + 1) // (n // 10 + 1)] = "z"
+        else:
+            for i in reversed(range(max(1, n // 10))):
+                s.insert(n * (i + 1) // (n // 10 + 1), "z")
+        s, t = "".join(s), "".join(t)
+        assert distance(s, t) <= max(len(s), len(t)) // 10
+        rows += [(2 * k, "train", (s, t)[k % 3 == 0], None, "x"), (2 * k + 1, "test", (t, s)[k % 3 == 0], None, "x")]
+        want.add((2 * k, 2 * k + 1))
+    df = spark.createDataFrame(rows, "row_id long, split string, original string, corrupted string, field string")
+    assert {tuple(r) for r in overlaps.cross_split_pairs(df).collect()} == want
+    assert {tuple(r) for r in overlaps.cross_split_pairs(df, most=50).collect()} == want
+
+
 def test_blocks_round_trip():
     e = np.zeros(5, overlaps.ENTRY)
     e["gram"], e["id"] = range(5), range(5, 10)

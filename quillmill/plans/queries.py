@@ -422,6 +422,13 @@ def edit_distance(spark, d):
     return _pairs(spark, d).where(F.col("source_text").rlike(plain) & F.col("target_text").rlike(plain)).select("row_id", F.levenshtein("source_text", "target_text").cast("long").alias("distance"))
 
 
+@query()
+def edit_distance_all(spark, d):
+    """The edit distance in code points of all pairs, in any script. DuckDB's levenshtein counts bytes: `edit_distance` keeps
+    to the pairs for which this is the same."""
+    return _pairs(spark, d).select("row_id", F.levenshtein("source_text", "target_text").cast("long").alias("distance"))
+
+
 def _aligned(spark, d, mode="minimal"):
     return align.align(_pairs(spark, d), "source_text", "target_text", mode)
 

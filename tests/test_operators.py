@@ -202,3 +202,21 @@ def test_corrector(spark):
     got = {r.id: r for r in pipeline.Corrector(plan, fill).correct(rows).collect()}
     assert got[1].prediction == [7, 55] and got[1].is_changed and [(e.position, e.type) for e in got[1].edits] == [(1, "REPLACE"), (2, "DELETE")]
     assert got[2].prediction[0] == 55 and not got[2].edits  # refined: its only id is the least sure
+
+
+def test_edit_distance_of_all_scripts(spark, tmp_path):
+    from quillmill.plans import queries as core
+
+    rows = [(1, "今天天气很好", "今天气真好"), (2, "東京へ行く", "東京に行った"), (3, "Привет, мир", "Превет мир"), (4, "ภาษาไทย", "ภาษไทยย"), (5, "हिन्दी भाषा", "हिंदी भाषा"), (6, "café", "cafe\u0301"), (7, "plain", "plane"), (8, "a😀b", "a😁😁b"), (9, "", "é"), (10, None, "é"), (11, "é", None)]
+    spark.createDataFrame(rows, "row_id long, source_text string, target_text string").write.parquet(str(tmp_path / "model_inputs.parquet"))
+
+    def distance(a, b):
+        row = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    got = {r.row_id: r.distance for r in core.QUERIES["edit_distance_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: distance(a, b) for k, a, b in rows if a is not None and b is not None}

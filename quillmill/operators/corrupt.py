@@ -69,6 +69,35 @@ def corrupt(df: DataFrame, key: str, text: str, confusions: DataFrame, settings:
     wanted = n_edits(d("n"), s, length_rate(F.length(t)) if s.by_length else None)
     chosen = df.where(go).select(key, F.col(text).alias("t"), F.explode(F.slice(ranked, 1, wanted)).alias("c")).select(key, "t", "c.position")
     chosen = chosen.withColumn("original", F.substring("t", F.col("position") + 1, F.lit(1))).withColumn("kind", error_kind(d("kind", F.col("position")), s)).drop("t")
+    return _applied(df, key, text, chosen, confusions, s, d)
+
+
+def kinds_in_order(key: Column, settings: ErrorSettings = ErrorSettings(), epoch: int = 0) -> Column:
+    """All kinds in an order drawn without replacement by their shares: the least of -ln(u) / share comes first."""
+    u = lambda k: (draw(settings.seed, epoch, key, "order", k) + 0.5) / SPAN
+    keys = [F.struct((-F.log(u(k)) / w if w else F.lit(float("inf"))).alias("r"), F.lit(k).alias("k")) for k, w in zip("SMR", settings.shares)]
+    return F.transform(F.array_sort(F.array(*keys)), lambda x: x["k"])
+
+
+def corrupt_typed(df: DataFrame, key: str, text: str, kind: str, confusions: DataFrame, settings: ErrorSettings = ErrorSettings(), epoch: int = 0, spans: str | None = None) -> DataFrame:
+    """As `corrupt`, but just one edit in each text of the least length, of the kind in the column `kind`. A replaced
+    character is one of those that have confusions; a text without any has a repeated one instead."""
+    t, s = F.col(text), settings
+    d = lambda *slot: draw(s.seed, epoch, F.col(key), *slot)
+    free = editable_positions(t, F.col(spans) if spans else None)
+    rank = lambda i: F.xxhash64(F.lit(s.seed), F.lit(epoch), F.col(key), i)
+    rows = df.where((F.length(t) >= s.least_length) & F.col(kind).isNotNull()).select(key, F.col(kind).alias("kind"), t.alias("t"), F.transform(free, lambda i: F.struct(rank(i).alias("r"), i.alias("position"))).alias("free"))
+    places = rows.where("kind = 'R'").select(key, F.explode("free").alias("c"), "t").select(key, "c", F.substring("t", F.col("c.position") + 1, F.lit(1)).alias("char"))
+    some = confusions.where(F.size("confusions") > 0).select("char")
+    confusable = places.join(some, "char", "left_semi").groupBy(key).agg(F.min("c").alias("confusable"))
+    chosen = rows.join(confusable, key, "left").withColumn("c", F.coalesce("confusable", F.array_min("free"))).where("c is not null")
+    chosen = chosen.select(key, "c.position", F.substring("t", F.col("c.position") + 1, F.lit(1)).alias("original"), "kind")
+    return _applied(df, key, text, chosen, confusions, s, d)
+
+
+def _applied(df: DataFrame, key: str, text: str, chosen: DataFrame, confusions: DataFrame, s: ErrorSettings, d) -> DataFrame:
+    """`df` with the edits at the chosen (key, position, original, kind) made."""
+    t = F.col(text)
     rows = chosen.join(confusions.withColumnRenamed("char", "original"), "original", "left")
     some = F.coalesce(F.size(F.col("confusions")) > 0, F.lit(False))
     repeats = (d("k", F.col("position")) % s.most_repeats + 1).cast("int")

@@ -380,11 +380,12 @@ def corrupt_protected(spark, d):
 
 @query()
 def static_samples(spark, d):
-    """One positive and two negatives per text, each with one edit and labels straight from it."""
+    """One positive and two negatives per text, of two kinds drawn without replacement, each with one edit and labels straight
+    from it."""
     rows = _sents(spark, d).where("length(text) between 5 and 118").select(F.col("seg_id").alias("id"), "text", F.explode(F.array(*map(F.lit, range(3)))).alias("variant"))
     rows = rows.withColumn("id", F.col("id") * 3 + F.col("variant"))
-    one = corrupt.ErrorSettings(p_corrupt=1.0, most_edits=1)
-    made = corrupt.corrupt(rows.where("variant > 0"), "id", "text", confusion.lookup(_conf(spark, d)), one).withColumn("e", F.get("edits", F.lit(0)))
+    negative = rows.where("variant > 0").withColumn("kind", F.get(corrupt.kinds_in_order(F.floor(F.col("id") / 3)), F.col("variant") - 1))
+    made = corrupt.corrupt_typed(negative, "id", "text", "kind", confusion.lookup(_conf(spark, d))).where("is_corrupted").withColumn("e", F.get("edits", F.lit(0)))
     both = made.select("id", "text", "corrupted", "e").unionByName(rows.where("variant = 0").select("id", "text", F.col("text").alias("corrupted"), F.lit(None).cast(made.schema["e"].dataType).alias("e")))
     out = labels.direct_labels(both, "corrupted", "e").withColumn("split", corrupt.split_of(draw(42, F.floor(F.col("id") / 3), "split")))
     return out.select("id", "corrupted", "text", _joined(F.col("op_labels")).alias("ops"), _joined(F.col("insert_labels")).alias("inserts"), F.array_join("template_tokens", "").alias("template"), F.array_join("gold_tokens", "").alias("gold"), "split")

@@ -220,3 +220,40 @@ def test_edit_distance_of_all_scripts(spark, tmp_path):
 
     got = {r.row_id: r.distance for r in core.QUERIES["edit_distance_all"](spark, str(tmp_path)).collect()}
     assert got == {k: distance(a, b) for k, a, b in rows if a is not None and b is not None}
+
+
+def test_typed_errors(spark):
+    conf = spark.createDataFrame([("的", ["得", "地"]), ("在", ["再"])], "char string, confusions array<string>")
+    rows = [(i, "甲乙丙丁戊己庚辛的壬癸子丑" if i % 3 else "甲乙丙丁戊己庚", k) for i, k in enumerate("SMR" * 20)]
+    rows = [(i, t if k == "R" or i % 2 else t + "在", k) for i, t, k in rows] + [(90, "的", "R"), (91, None, "S"), (92, "甲乙丙丁戊己", "R")]
+    got = {r.id: r for r in corrupt.corrupt_typed(spark.createDataFrame(rows, "id long, text string, kind string"), "id", "text", "kind", conf).collect()}
+    assert len(got) == len(rows)
+    for i, t, k in rows:
+        r = got[i]
+        if t is None or len(t) < 5:
+            assert not r.is_corrupted and r.corrupted == t
+            continue
+        (e,) = r.edits
+        assert r.corrupted != t and e.original == t[e.position]
+        assert e.type == (k if k != "R" or "的" in t or "在" in t else "M")
+        assert e.type != "R" or e.original in "的在"
+    n = spark.range(4000).select(corrupt.kinds_in_order(F.col("id")).alias("k")).collect()
+    assert all(sorted(r.k) == ["M", "R", "S"] for r in n)
+    first = [sum(r.k[0] == k for r in n) / 4000 for k in "SMR"]
+    second = sum(r.k[:2] == ["R", "M"] for r in n) / 4000  # 0.5 * 0.3 / (0.2 + 0.3)
+    assert all(abs(x - y) < 0.03 for x, y in zip(first, (0.2, 0.3, 0.5))) and abs(second - 0.3) < 0.03
+
+
+def test_static_samples_have_two_kinds(spark):
+    from quillmill.plans import queries as core
+
+    kinds: dict = {}
+    for r in core.QUERIES["static_samples"](spark, "/root/testdata/sf0.001").collect():
+        kind = "R" if "2" in r.ops.split(",") else "M" if "1" in r.ops.split(",") else "S" if "1" in r.inserts.split(",") else ""
+        kinds.setdefault(r.id // 3, []).append((kind, r.text))
+    chars = {r.char for r in spark.read.parquet("/root/testdata/sf0.001/confusion_entries.parquet").select("char").collect()}
+    assert kinds
+    for both in kinds.values():
+        assert len(both) == 3
+        drawn = sorted(k for k, _ in both if k)
+        assert len(drawn) == 2 and (drawn[0] != drawn[1] or drawn[0] == "M" and not chars & {*both[0][1]})

@@ -749,8 +749,7 @@ def edit_f_score(spark, d):
 @query("SELECT row_id, source_text AS source, target_text AS target FROM model_inputs WHERE source_text <> '' AND target_text <> '' AND source_text NOT LIKE '[%' AND target_text NOT LIKE '[%'")
 def read_pairs_json(spark, d):
     """Pairs as JSON lines and back."""
-    rows = _pairs(spark, d).where("source_text not like '[%' and target_text not like '[%'")
-    lines = rows.select(F.to_json(F.struct(F.concat_ws("|", F.col("row_id").cast("string"), "source_text").alias("src"), F.col("target_text").alias("tgt"))).alias("value"))
+    lines = _pairs(spark, d).select(F.to_json(F.struct(F.concat_ws("|", F.col("row_id").cast("string"), "source_text").alias("src"), F.col("target_text").alias("tgt"))).alias("value"))
     p = readers.jsonl_pairs(lines)
     bar = F.instr("source", "|")
     return p.select(F.substring("source", F.lit(1), bar - 1).cast("long").alias("row_id"), F.substring("source", bar + 1, F.length("source")).alias("source"), "target").where("source <> ''")

@@ -8,14 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-ANY = "map<string,string>"
+ANY = "map<string,variant>"
 
 
 def _first(m: Column, *names: str) -> Column:
-    """The first of the names with a value that isn't empty; of a list value its first member."""
-    value = F.coalesce(*[F.when(m[n] != "", m[n]) for n in names])
-    listed = F.from_json(value, "array<string>")
-    return F.when(value.startswith("["), F.coalesce(F.get(listed, F.lit(0)), F.lit(""))).otherwise(value)
+    """The first of the names with a value that isn't empty; of a list its first member. A string that begins like a list
+    is no list: the values of `m` know their JSON type."""
+
+    def text(n: str) -> Column:
+        v = F.try_variant_get(m[n], "$", "string")
+        listed = F.schema_of_variant(m[n]).startswith("ARRAY")
+        return F.when(v != "", F.when(listed, F.coalesce(F.try_variant_get(m[n], "$[0]", "string"), F.lit(""))).otherwise(v))
+
+    return F.coalesce(*map(text, names))
 
 
 def _pairs(rows: DataFrame, source: Column, target: Column) -> DataFrame:

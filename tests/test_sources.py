@@ -63,3 +63,19 @@ def test_writers(spark, tmp_path):
     out = df.withColumnRenamed("target", "prediction").withColumn("is_changed", df.is_corrupted)
     writers.write_predictions(out, str(tmp_path / "p"), only_changed=True)
     assert spark.read.json(str(tmp_path / "p")).count() == 1
+
+
+def test_strings_that_look_like_lists(spark, tmp_path):
+    rows = [("[1] a", "[b"), ('["q"]', "x"), ("c", "[]")]
+    p = put(tmp_path / "a.jsonl", *(json.dumps({"source": a, "target": b}) for a, b in rows), '{"source": ["[d]", "e"], "target": ["f"]}')
+    assert pairs(readers.read_pairs(spark, p, "mucgec")) == sorted([*rows, ("[d]", "f")])
+    p = put(tmp_path / "b.json", json.dumps([{"input": "[a] b", "output": "c"}]))
+    assert pairs(readers.read_pairs(spark, p, "custom")) == [("[a] b", "c")]
+
+
+def test_bracketed_pairs_make_the_round_trip(spark, tmp_path):
+    from quillmill.plans import queries as core
+
+    rows = [(1, "[公告] 今天", "[公告] 明天"), (2, "a", "[b]"), (3, "c", "d")]
+    spark.createDataFrame(rows, "row_id long, source_text string, target_text string").write.parquet(str(tmp_path / "model_inputs.parquet"))
+    assert sorted(tuple(r) for r in core.QUERIES["read_pairs_json"](spark, str(tmp_path)).collect()) == rows

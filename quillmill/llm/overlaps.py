@@ -1,5 +1,6 @@
 """Problem 4: records of evaluation splits that stand, exactly or almost, in the training split.
 
+A hash join on pieces and edit distance, in place of a suffix array: no suffixes are sorted and no spans merged into coverage.
 Exact for the allowed edits, by pigeonhole. A training text of n code points can be n // 9 edits from its longest partner, so
 of n // 9 + 1 disjoint pieces one at least stands unchanged in any partner. All pieces of the training texts are looked up
 among the evaluation texts' grams of the pieces' length, at every place to which the edits beside a piece can move it. Pieces

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import let
 from ..runtime import spread, table
 from .lookalikes import lookalike_classes
 
@@ -62,18 +63,19 @@ MASKS = [
     (rf"\.(?<=(?<!\p{{L}})(?:{BEFORE_ORDINAL}){N}{{1,3}}\p{{Nd}}{{1,3}}\.)(?={N})", MASK),
 ]
 
-# Quotations of up to so many characters are taken whole; a longer one is most likely a quotation mark left open.
-QUOTE = 3000
-PAIRS = [("„", "“”"), ("“", "”"), ("「", "」"), ("『", "』"), ("«", "»"), ("‹", "›"), ('"', '"'), ("＂", "＂"), ("｢", "｣")]
+# Openers behind the last mark that could close them are left open. Placeholders stand for these, so that a quotation is
+# always closed and is taken whole, however long, in one pass: an opener, the marks that close it, its placeholder.
+OPEN = [("„", "“”", "\ue101"), ("“", "”", "\ue102"), ("「", "」", "\ue103"), ("『", "』", "\ue104"), ("«", "»", "\ue105"), ("‹", "›", "\ue106"), ("｢", "｣", "\ue107")]
+PAIRS = [("„", "“\ue102”"), ("“", "”"), ("「", "」"), ("『", "』"), ("«", "»"), ("‹", "›"), ('"', '"'), ("＂", "＂"), ("｢", "｣")]
 BRACKETS = [("（", "）"), (r"\(", r"\)"), ("《", "》"), ("〈", "〉"), ("【", "】"), (r"\[", r"\]")]
-_quote = "|".join(rf"{a}[^{b}]{{0,{QUOTE}}}+[{b}]" for a, b in PAIRS)
-_bracket = "|".join(rf"{a}[^{a}{b}]{{0,{QUOTE}}}+{b}" for a, b in BRACKETS)
-_ended_quote = "|".join(rf"{a}(?>[^{b}]{{0,{QUOTE}}})(?<=[。｡．！？!?….।]{N}{{0,3}})[{b}]" for a, b in PAIRS)
+_quote = "|".join(rf"{a}[^{b}]*+[{b}]" for a, b in PAIRS)
+_bracket = "|".join(rf"{a}[^{a}{b}]*+{b}" for a, b in BRACKETS)
+_ended_quote = "|".join(rf"{a}(?>[^{b}]*)(?<=[。｡．！？!?….।]{N}{{0,3}})[{b}]" for a, b in PAIRS)
 _go_on = rf"(?!{N}*(?:[，,、；;：:—–-]|\p{{Ll}}|[とって]))"
 # A quotation that ends with a mark ends its unit if a colon introduced it, or if a new sentence plainly begins behind it.
-_quote_end = rf"(?:(?<=[：:]{N}{{0,3}})(?:{_ended_quote}){_go_on}|(?:{_ended_quote})(?={N}+\p{{Lu}}|{N}*[“「『„«]))"
+_quote_end = rf"(?:(?<=[：:]{N}{{0,3}})(?:{_ended_quote}){_go_on}|(?:{_ended_quote})(?={N}+\p{{Lu}}|{N}*[“「『„«\ue101-\ue105]))"
 _close = r"(?:\p{Cf}*+[”」』»›）\)\]】》\"'’])*+"
-_next = rf"(?={N}*\z|{N}*{B}{N}*(?!\p{{Ll}})[^\s]|{N}*[{CJK}“「『„«])"
+_next = rf"(?={N}*\z|{N}*{B}{N}*(?!\p{{Ll}})[^\s]|{N}*[{CJK}“「『„«\ue101-\ue105])"
 _marks = (
     rf"(?:[。｡．！？।॥](?:\p{{Cf}}*+[。｡．！？!?…।॥.])*+|…(?:\p{{Cf}}*+[…。！？!?.])*+(?!{N}*\p{{Ll}})"  # marks of scripts that have no letter case
     rf"|(?<=[{CJK}%％）”」])[.!?]++|[.!?]++[.!?…]*+(?={_close}{_next[3:-1]})"  # marks that a blank and a new sentence follow
@@ -85,8 +87,22 @@ _plain = r"[^。｡．！？।॥…!?.„“「『«‹\"＂｢（(《〈【\[
 UNIT = rf"(?s)(?:{_plain}|(?!{_quote_end}|{_marks}|{_blank})(?:{_quote}|{_bracket}|.))*+(?:{_quote_end}|{_marks}|{_blank}|\z)"
 
 
+def _left_open(text: Column, opener: str, closers: str, to: str) -> Column:
+    """`text` with `to` for the openers behind its last closer."""
+
+    def replaced(t: Column) -> Column:
+        behind = t
+        for c in closers:
+            behind = F.substring_index(behind, c, -1)
+        return F.when(F.contains(t, F.lit(opener)), let(behind, lambda x: F.concat(F.left(t, F.length(t) - F.length(x)), F.translate(x, opener, to)))).otherwise(t)
+
+    return let(text, replaced)
+
+
 def masked(text: Column) -> Column:
     text = F.translate(text, WIDE, NARROW)
+    for opener, closers, to in OPEN:
+        text = _left_open(text, opener, closers, to)
     for pattern, to in MASKS:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
     return text

@@ -123,6 +123,17 @@ def test_long_texts_stay_linear(spark):
     assert {r.id: r["count"] for r in segmenter.sentence_units(df, "id", "text").groupBy("id").count().collect()} == {1: 1, 2: 20000, 3: 1}
 
 
+def test_long_quotations_and_brackets_are_units(spark):
+    long = "今天天气很好。" * 600
+    texts = [f"他说：“{long}”我走了。", f"甲（{long}）乙。丙。", f"„{'Es regnet. ' * 500}“, sagte er. Er ging.", f"“{long}", f"”甲。“{long}", "“" * 100000 + "。", '"' + "a. B" * 20000, "„Ja.“ „" + "Es regnet. " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in segmenter.sentence_units(df, "id", "text").orderBy("id", "sentence_id").collect():
+        got.setdefault(r.id, []).append(texts[r.id][r.unit_start : r.unit_end])
+    assert got[0] == [f"他说：“{long}”", "我走了。"] and got[1] == [f"甲（{long}）乙。", "丙。"] and got[2] == [texts[2][:-9], "Er ging."]
+    assert len(got[3]) == 600 and len(got[4]) == 601 and len(got[5]) == 1 and len(got[7]) == 4  # left open
+
+
 # ---- problem 4
 
 

@@ -21,7 +21,8 @@ from ..runtime import checkpointed, over_batches, spread, table
 LOST = "�"
 BUCKETS = 1 << 19
 # Swaps: how the bytes were read, and what they were written in.
-SWAPS = [("latin", "utf-8"), ("gb18030", "utf-8"), ("cp932", "utf-8"), ("big5hkscs", "utf-8"), ("latin", "gb18030")]
+SWAPS = [("latin", "utf-8"), ("gb18030", "utf-8"), ("cp932", "utf-8"), ("big5hkscs", "utf-8"), ("latin", "gb18030"), ("cp1251", "utf-8"), ("koi8-r", "utf-8"), ("latin", "euc_kr"), ("latin", "euc_jp")]
+SINGLE = {"latin", "cp1251", "koi8-r"}  # pages of one byte a character
 # Prior odds of a swap before any is learned, rounds of EM, and the range of the likelihood gain's histogram.
 PRIOR, ROUNDS, RANGE = 0.01, 8, 40
 # Weight of single letters in the bigram model.
@@ -173,7 +174,7 @@ def decipher(text: str, read: str, written: str, model: Model) -> tuple[float, s
     for a, b, letters in _spans(text, read, written):
         left, right = (out[-1][-1:] if out and out[-1] and a == at else text[a - 1 : a]), text[b : b + 1]
         more = model.text(letters, left, right) - model.text(text[a:b], text[a - 1 : a], right)
-        alone = (b - a == 1 or len(letters) == 1 and written == "utf-8" and read != "latin") and not re.match(r"[ -~]", text[a - 1 : a] + text[b : b + 1])
+        alone = (b - a == 1 or len(letters) == 1 and written == "utf-8" and read not in SINGLE) and not re.match(r"[ -~]", text[a - 1 : a] + text[b : b + 1])
         if LOST in letters and b - a > 1:
             more += 15.0 * letters.count(LOST)  # bytes of U+FFFD itself, misread: no letters of any language
         if more > 1 and not alone:
@@ -233,19 +234,19 @@ def suspects(texts: list[str]) -> list[list[int]]:
         a, b = one[p], two[p]
         nxt, nxt2 = np.append(a[1:], 0), np.append(b[1:], 0)
         tail = lambda x: (x >= 0x80) & (x < 0xC0)
-        if read == "latin" and written == "utf-8":
+        if read in SINGLE and written == "utf-8":
             hit = (a >= 0xC2) & (a < 0xF5) & (tail(nxt) | lost)
         elif read == "latin":
             hit = (a >= 0xA1) & (a < 0xF8) & (nxt >= 0xA1) & (p < 0x100) & (np.append(p[1:], 0) < 0x100)
         else:
             third = np.append(nxt[1:], 0)
-            three = (a >= 0xE2) & (a < 0xF0) & tail(b) & ((tail(nxt) & ((nxt2 >= 0xC2) & (nxt2 < 0xF0) | (nxt2 == 0))) | lost)  # two letters, or one and a lost byte
+            three = (a >= 0xE0) & (a < 0xF0) & tail(b) & ((tail(nxt) & ((nxt2 >= 0xC2) & (nxt2 < 0xF0) | (nxt2 == 0))) | lost)  # two letters, or one and a lost byte
             two_bytes = (a >= 0xC2) & (a < 0xE0) & (tail(b) | (b == 0) & tail(nxt))
             plain = (p > 0x20) & (p < 0x80)
             near = np.append(plain[1:], False) | np.concatenate([[False], plain[:-1]])
             row = two_bytes & np.append(two_bytes[1:], False)
             if read == "cp932":  # half-width kana are single bytes
-                three |= (a >= 0xE2) & (a < 0xF0) & tail(b) & (nxt2 == 0) & tail(nxt)
+                three |= (a >= 0xE0) & (a < 0xF0) & tail(b) & (nxt2 == 0) & tail(nxt)
                 hit = three | two_bytes & (b == 0) & tail(nxt)
             else:
                 hit = three | two_bytes & (near & (b > 0)) | row & np.append(row[1:], False)

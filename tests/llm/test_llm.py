@@ -260,6 +260,17 @@ def test_garbled(spark):
     assert mojibake.garbled(df.limit(0), model).count() == 0
 
 
+def test_garbled_in_other_code_pages(spark):
+    clean = ["Привет, сегодня хорошая погода и мы идём гулять.", "สวัสดีครับ วันนี้อากาศดีมาก", "안녕하세요 오늘은 날씨가 좋습니다", "こんにちは、今日はいい天気ですね", "आज मौसम बहुत अच्छा है"]
+    bad = {1000: (0, "cp1251"), 1001: (0, "koi8-r"), 1002: (1, "gb18030"), 1003: (1, "cp932"), 1004: (2, "euc_kr"), 1005: (3, "euc_jp"), 1006: (4, "gb18030")}
+    read = lambda t, page: t.encode(page).decode("latin-1") if page.startswith("euc") else t.encode().decode(page, "replace")
+    rows = [("original", i, "s", t) for i, t in enumerate(clean * 40)] + [("original", i, "s", read(clean[k], page)) for i, (k, page) in bad.items()]
+    df = spark.createDataFrame(rows, "field string, row_id long, source string, text string")
+    got = {r.row_id: r.restored for r in mojibake.garbled(df, mojibake.Model.learn(df.select("text"))).collect()}
+    assert {*got} == {*bad}
+    assert all(got[i] == clean[bad[i][0]] for i in (1000, 1001, 1004, 1005))
+
+
 # ---- problem 7
 
 

@@ -27,7 +27,6 @@ ALIKE = """
 A ΑА
 B ΒВ
 C СϹ
-D
 E ΕЕ
 F Ϝ
 G Ԍ
@@ -47,59 +46,54 @@ W Ԝ
 X ΧХ
 Y ΥҮ
 Z Ζ
-a аɑα
+a аɑ
 c сϲ
 d ԁ
 e е
-g ɡ
 h һ
-i іι
+i і
 j јϳ
-k κ
 l ӏ
 n ո
 o оοօ
 p рρ
 q ԛ
-r г
 s ѕ
-u υս
-v νѵ
+u ս
+v ѵ
 w ԝ
 x хχ
-y уүγ
+y уү
 Г Γ
 П Π
 Ф Φ
 Л Λ
-к ĸ
-ß β
 µ μ
 Å Å
 Ω Ω
-- ‐‑‒−﹣
+- ‐‑‒−
 – ‒
 , ‚
 ; ;
-: ∶ː꞉
+: ∶꞉
 ! ǃ
 / ⁄∕
 | ǀ∣
-~ ∼˜
-· ・•‧∙⋅•·
+· ・‧∙⋅·
 * ∗
-° ˚
 へ ヘ
 べ ベ
 ぺ ペ
 。 ｡
 """
-# Letters above that only some fonts draw alike; they form no class.
-NOT_ALIKE = "α ι κ υ ν γ г ɡ ﹣ β ˜ ˚ ĸ • ∼ ː"
 # Code points that show nothing and take no room.
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), 0xFEFF]
 # Decompositions whose two sides look alike; the others (super, sub, circle, square, fraction and so on) do not.
 SAME_LOOK = {"", "<wide>", "<narrow>", "<noBreak>"}
+# Voicing marks, half-width and alone.
+VOICING = "ﾞﾟ゛゜"
+# Hangul letters that stand alone, and those that combine to syllables; one of the latter alone looks like one of the former.
+SINGLE_JAMO, JAMO = range(0x3131, 0x318F), range(0x1100, 0x1200)
 
 
 class Unions:
@@ -132,12 +126,10 @@ def _decomposition(c: str) -> tuple[str, str]:
 def lookalike_classes() -> dict[str, tuple[str, ...]]:
     """Root -> members, of every class with two members or more. The table is fixed by Unicode, whatever the data."""
     u = Unions()
-    drop = set(NOT_ALIKE.split())
     for line in ALIKE.split("\n"):
         head, _, rest = line.partition(" ")
         for c in rest:
-            if c not in drop:
-                u.join(head, c)
+            u.join(head, c)
     for o in INVISIBLE:
         u.join("", chr(o))
     sequences = []
@@ -152,15 +144,13 @@ def lookalike_classes() -> dict[str, tuple[str, ...]]:
         if not to:
             continue
         radical = 0x2E80 <= o < 0x2FE0 or o == 0x0E33 or o == 0x0EB3
-        if kind in SAME_LOOK or radical:
+        if kind in SAME_LOOK or radical or o in SINGLE_JAMO:
             if len(to) == 1:
                 u.join(c, to)
             elif kind == "" or radical:
                 sequences.append((c, unicodedata.normalize("NFD", c) if kind == "" else to))
-    for c in "ﾞﾟ":  # half-width voicing marks
-        u.join(c, "゙" if c == "ﾞ" else "゚")
-    u.join("゛", "゙")
-    u.join("゜", "゚")
+    for c, to in zip(VOICING, "\u3099\u309a" * 2):
+        u.join(c, to)
     # A sequence is alike to every sequence of like letters: its letters are replaced by their roots first.
     for c, to in sequences:
         u.join(c, "".join(u.find(x) for x in to))
@@ -176,7 +166,9 @@ def representatives(counts: Mapping[str, int] | None = None) -> dict[str, str]:
     compatibility normalization keeps, and nothing for the invisible."""
     out = {}
     for root, members in lookalike_classes().items():
+        # Canonical composition must leave the representative as it is, and a letter that combines would do so anew.
         single = [m for m in members if len(m) == 1]
+        single = [m for m in single if unicodedata.normalize("NFC", m) == m and ord(m) not in JAMO] or single
         best = "" if "" in members else min(single, key=lambda m: (-(counts or {}).get(m, 0), unicodedata.normalize("NFKC", m) != m, m)) if single else min(members)
         out |= {m: best for m in members if m and m != best}
     return out
@@ -224,14 +216,30 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if self.keeps_ascii and text.isascii():
             return text
-        text = self._sweep(self.first, text)
-        for _ in range(3):  # several marks on one letter are taken in one after the other
-            if (new := self._sweep(self.second, text)) == text:
+        # Marks come into canonical order and syllables are composed, before letters change and wherever that makes new ones.
+        text = self._sweep(self.first, _composed(text))
+        if (new := _composed(text)) != text:
+            text = self._sweep(self.first, new)
+        while (new := self._sweep(self.second, text)) != text:  # marks on one letter are taken in one after the other
+            shorter, text = len(new) < len(text), new
+            if not shorter:
                 break
-            text = new
         return text
 
 
+def _composed(text: str) -> str:
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
+@functools.cache
+def combining_points() -> np.ndarray:
+    """Whether a code point may combine with those before it: marks with an order, and vowels and finals of Hangul."""
+    out = np.zeros(0x110000, bool)
+    out[[o for o in range(0x300, 0x30000) if unicodedata.combining(chr(o))]] = True
+    out[0x1161:0x1176] = out[0x11A8:0x11C3] = True
+    return out
+
+
 @functools.cache
 def default_rewriter() -> Rewriter:
     """Without counts; the form is as consistent, only its look may be rarer."""
@@ -247,9 +255,9 @@ class PointFolder:
         self.table = np.arange(0x110000, dtype=np.uint32)
         for m, (_, r) in self.rewrite.first.items():
             self.table[ord(m)] = ord(r) if r else 0x110000
-        self.marks = np.zeros(0x110000, bool)
+        self.marks = combining_points().copy()
         for m in self.rewrite.second.keys():
-            self.marks[[ord(c) for c in m if unicodedata.category(c)[0] == "M"]] = True
+            self.marks[[ord(c) for c in m if unicodedata.category(c)[0] == "M" or c in VOICING]] = True
 
     def __call__(self, texts: list[str], drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(points, ends): the forms' code points one after the other, and where each text's end; points for which
@@ -259,7 +267,7 @@ class PointFolder:
 
         points, ends = points_of(texts)
         folded = self.table[points]
-        marked = np.concatenate([[0], np.cumsum(self.marks[np.minimum(folded, 0x10FFFF)])])
+        marked = np.concatenate([[0], np.cumsum(self.marks[points] | self.marks[np.minimum(folded, 0x10FFFF)])])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         again = np.flatnonzero(marked[ends] > marked[starts]) if len(texts) else []
         if len(again):
@@ -285,13 +293,8 @@ def member_counts(texts: DataFrame, col: str = "text") -> dict[str, int]:
     def count(batches):
         total = np.zeros(0x110000, np.int64)
         for b in batches:
-            for s in b.column(0).to_pylist():
-                if s:
-                    points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-                    if points.size > 4096:
-                        total += np.bincount(points, minlength=total.size)
-                    else:
-                        np.add.at(total, points, 1)
+            points = np.frombuffer("".join(s for s in b.column(0).to_pylist() if s).encode("utf-32-le", "surrogatepass"), np.uint32)
+            total += np.bincount(points, minlength=total.size)
         hit = ours[total[ours] > 0]
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["point", "n"])
 
@@ -329,17 +332,18 @@ def _forms(values: DataFrame, rep: dict[str, str]) -> DataFrame:
     """(kind, id, raw, h1, h2): a hash of the value and two of its form; texts themselves aren't shuffled."""
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("raw", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
-    def work(batch, rewrite):
-        raw, one, two = [], [], []
-        for s in batch.column(2).to_pylist():
-            b = s.encode("utf-8", "surrogatepass")
-            raw.append(xxhash.xxh3_64_intdigest(b) - (1 << 63))
-            d = xxhash.xxh3_128_intdigest(rewrite(s).encode("utf-8", "surrogatepass"))
+    def work(batch, folder):
+        texts = batch.column(2).to_pylist()
+        points, ends = folder(texts)
+        forms, raw, one, two, at = points.astype("<u4").tobytes(), [], [], [], 0
+        for s, end in zip(texts, (4 * ends).tolist()):
+            raw.append(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63))
+            d, at = xxhash.xxh3_128_intdigest(forms[at:end]), end
             one.append((d >> 64) - (1 << 63))
             two.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
         return [batch.column(0).cast(pa.int32()), batch.column(1).cast(pa.int64()), raw, one, two]
 
-    return over_batches(values.where("text is not null"), work, schema, "kind int, id long, raw long, h1 long, h2 long", lambda: Rewriter(rep))
+    return over_batches(values.where("text is not null"), work, schema, "kind int, id long, raw long, h1 long, h2 long", lambda: PointFolder(Rewriter(rep)))
 
 
 def equal_looking_pairs(values: DataFrame, rep: dict[str, str]) -> DataFrame:

@@ -30,6 +30,18 @@ def test_forms():
     assert ["".join(map(chr, points[a:b])) for a, b in zip(starts, ends)] == [r(t) for t in texts]
 
 
+def test_form_is_the_same_for_composed_and_decomposed_text():
+    r, norm = lookalikes.default_rewriter(), unicodedata.normalize
+    assert not [o for o in range(0x110000) if not 0xD800 <= o < 0xE000 and r(norm("NFC", chr(o))) != r(norm("NFD", chr(o)))]
+    assert r("a\u0302\u0323") == r("a\u0323\u0302") == r("\u1ead") == r("а\u0323\u0302")  # marks in any order, also on a Cyrillic letter
+    assert r("한글") == r(norm("NFD", "한글")) and r("ﾡ") == r("ㄱ") == r("\u1100") and r("ㄱㅏ") != r("가")
+    rng, f = random.Random(7), lookalikes.PointFolder(r)
+    pool = [chr(o) for a, b in ((0x20, 0x250), (0x300, 0x345), (0x370, 0x460), (0x900, 0x980), (0xE01, 0xE5B), (0x1100, 0x1200), (0x3040, 0x3190), (0xAC00, 0xAC40), (0xFF01, 0xFFDD)) for o in range(a, b)]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    points, ends = f(texts)
+    assert ["".join(map(chr, points[a:b])) for a, b in zip([0, *ends[:-1]], ends)] == [r(t) for t in texts] == [r(norm("NFD", t)) for t in texts] == [r(r(t)) for t in texts]
+
+
 def test_representative_is_the_most_frequent():
     rep = lookalikes.representatives({"А": 5, "A": 3})
     assert rep["A"] == "А" and "А" not in rep

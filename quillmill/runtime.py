@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -46,6 +47,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a compressed table in the shared checkpoint folder: as `checkpointed`, but column by column, so that readers
+    of some columns read these only. The table is removed when the JVM ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """`df`, for a broadcast join if it has at most `most` rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def over_batches(df: DataFrame, work: Callable[..., list | tuple], schema: pa.Schema, ddl: str, init: Callable[[], object] | None = None) -> DataFrame:
     """`work(batch[, state])` over Arrow batches of `df`; it returns the output columns in the order of `schema`.
 

@@ -5,19 +5,22 @@ Exact for the allowed edits, by pigeonhole. A training text of n code points can
 of n // 9 + 1 disjoint pieces one at least stands unchanged in any partner. All pieces of the training texts are looked up
 among the evaluation texts' grams of the pieces' length, at every place to which the edits beside a piece can move it. Pieces
 of the first half count places from the start and those of the second half from the end, as edits move these least. Both are
-partitioned by their hash. Pairs of texts whose pieces, places, lengths and character counts allow it are verified by edit
-distance. Texts are compared in the form of problem 1 and stand once, however many rows have them.
+partitioned by their hash; a partition that a common piece overfills is split up, round after round, until each fits a task.
+Pairs of texts whose pieces, places, lengths and character counts allow it are verified by edit distance. Texts are compared
+in the form of problem 1 and stand once in all, however many rows have them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed, over_batches, spread, table
+from ..runtime import broadcast_if_small, checkpointed, over_batches, spread, table, written
 from .leaks import _expand, gram_hashes
 from .lookalikes import PointFolder
 
@@ -25,9 +28,11 @@ from .lookalikes import PointFolder
 PIECES = ((9, 4), (12, 6), (28, 7), (64, 8))
 # A share of the longer text may differ.
 EDITS = 10
-MOST_BROADCAST = 1_000_000
-# Pieces and grams (of 29 bytes) that one task may hold before it splits its partition up, and parts of the training side then.
-MOST_ENTRIES, SALT = 4_000_000, 4
+# Ids of candidate texts that are broadcast at most; beyond that they are joined by a shuffle.
+MOST_BROADCAST = 500_000
+# Pieces and grams (of 29 bytes) that one task may hold before it splits its partition up; partitions are made for a quarter
+# of it, but not more of them than a shuffle can keep track of. SALT: in how many parts of each side a later split cuts.
+MOST_ENTRIES, MOST_PARTITIONS, SALT = 1_000_000, 100_000, 4
 FIELDS = ("original", "corrupted")
 ENTRY = np.dtype([("gram", "<u4"), ("place", "<u4"), ("length", "<u4"), ("side", "u1"), ("id", "<u8"), ("sketch", "<u8")])
 # Bits of `side` over those of the fields: which of PIECES, and that the place counts from the end.
@@ -43,10 +48,10 @@ def _folded(texts: list[str], folder: PointFolder) -> tuple[np.ndarray, np.ndarr
     return points, np.concatenate([[0], ends[:-1]]).astype(np.int64) if ends.size else ends, ends
 
 
-def _text_ids(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
-    data = points.astype("<u4").tobytes()
-    both = [xxhash.xxh3_128_intdigest(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-    return [x >> 64 for x in both], [x & 0xFFFFFFFFFFFFFFFF for x in both]
+def _points(forms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of texts that have their form already."""
+    ends = np.cumsum([len(x) for x in forms]).astype(np.int64)
+    return np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], ends[:-1]]).astype(np.int64) if ends.size else ends, ends
 
 
 def _gram_kinds(points: np.ndarray, owner: np.ndarray):
@@ -124,39 +129,33 @@ def count_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(batch) -> tuple[list[str], np.ndarray]:
-    """The texts of a batch of (text, side), each once, and the sides that have them as bits."""
-    sides: dict[str, int] = {}
-    for s, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        sides[s] = sides.get(s, 0) | k
-    return list(sides), np.array(list(sides.values()), np.uint8)
-
-
-def gram_blocks(values: DataFrame, partitions: int) -> DataFrame:
-    """(part, block): the pieces and grams of each batch, packed by the partition that joins them."""
+def gram_blocks(texts: DataFrame, partitions: int) -> DataFrame:
+    """(part, block): the pieces and grams of each batch of (id, side, form), packed by the partition that joins them."""
 
     def run(batches):
-        folder = PointFolder()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts, sides = _distinct(batch)
-            points, starts, ends = _folded(texts, folder)
-            ids, sketch = np.array(_text_ids(points, starts, ends)[0], np.uint64), character_counts(points, starts, ends)
+            ids, sides = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().astype(np.uint8)
+            points, starts, ends = _points(batch.column(2).to_pylist())
+            sketch = character_counts(points, starts, ends)
             t, v = (f(points, starts, ends, sides & bits != 0) for f, bits in ((training_pieces, TRAIN), (evaluation_grams, EVAL)))
             text, place, h, more = _concatenated([t, v])
             e = np.empty(text.size, ENTRY)
             e["gram"] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             e["place"], e["length"], e["id"], e["sketch"] = place, (ends - starts)[text], ids[text], sketch[text]
             e["side"] = sides[text] & np.repeat(np.array([TRAIN, EVAL], np.uint8), [t[0].size, v[0].size]) | more
-            part = (h >> np.uint64(32)).astype(np.int64) % partitions
-            order = np.lexsort((e["gram"], part))
-            e, part = e[order], part[order]
-            cuts = np.searchsorted(part, np.arange(partitions + 1))
-            rows = [(p, _packed(e[cuts[p] : cuts[p + 1]])) for p in range(partitions) if cuts[p + 1] > cuts[p]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "block"])
+            yield _by_part(e, (h >> np.uint64(32)).astype(np.int64) % partitions)
 
-    return values.mapInArrow(run, "part int, block binary")
+    return texts.select("id", "side", "form").mapInArrow(run, "part int, block binary")
+
+
+def _by_part(e: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((e["gram"], part))
+    e, part = e[order], part[order]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), part.size] if part.size else []
+    blocks = [(int(part[a]), _packed(e[a:b])) for a, b in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "block"])
 
 
 def _packed(e: np.ndarray) -> bytes:
@@ -168,19 +167,10 @@ def _unpacked(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY)[:, 0]
 
 
-def _once(e: np.ndarray) -> np.ndarray:
-    """Without the repetitions that a text of several batches makes."""
-    e = e[np.lexsort((e["side"], e["place"], e["id"], e["gram"]))]
-    same = np.ones(max(0, e.size - 1), bool)
-    for f in ("gram", "id", "place", "side"):
-        same &= e[f][1:] == e[f][:-1]
-    return e[np.concatenate([np.ones(min(1, e.size), bool), ~same])]
-
-
 def alike_pairs(e: np.ndarray, chunk: int = 2_000_000) -> np.ndarray:
     """Pairs of text ids (evaluation, training) of a partition of which a gram is a piece, at places and in texts that few
     enough edits could make of each other. Exact for what it is given: no group is capped."""
-    train, evals = _once(e[(e["side"] & TRAIN) != 0]), _once(e[(e["side"] & EVAL) != 0])
+    train, evals = e[(e["side"] & TRAIN) != 0], e[(e["side"] & EVAL) != 0]
     if not train.size or not evals.size:
         return np.zeros((0, 2), np.uint64)
     grams, group = np.unique(train["gram"], return_inverse=True)
@@ -232,33 +222,35 @@ def alike_pairs(e: np.ndarray, chunk: int = 2_000_000) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
 
 
-def split_up(e: np.ndarray, partitions: int) -> list[tuple[int, bytes]]:
-    """The entries of an overfull partition, packed for `partitions` smaller ones: by beginning, length of the text (in
-    steps of a quarter) and SALT parts of the training side. Evaluation grams go to all parts that may hold a match."""
-    step = lambda n: np.floor(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int64)
-    n = e["length"].astype(np.int64)
-    train, evals = (e["side"] & TRAIN) != 0, (e["side"] & EVAL) != 0
-    low, high = step(n[evals] - n[evals] // EDITS - 1), step(n[evals] + n[evals] // (EDITS - 1) + 1)
-    row, bucket = _expand(low, high - low + 1)
-    row, bucket, salt = np.repeat(row, SALT), np.repeat(bucket, SALT), np.tile(np.arange(SALT), row.size)
-    t = e[train]
-    both = np.concatenate([t, e[evals][row]])
-    where = np.concatenate([step(n[train]) * SALT + (t["id"] % np.uint64(SALT)).astype(np.int64), bucket * SALT + salt])
-    part = ((both["gram"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + where.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % partitions
-    order = np.argsort(part, kind="stable")
-    both, part = both[order], part[order]
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    return [(int(part[i]), _packed(both[i:j])) for i, j in zip([0, *cuts], [*cuts, part.size])] if part.size else []
-
-
-def _searched(blocks: DataFrame, split_into: int | None, most: int) -> DataFrame:
+def split_up(e: np.ndarray, origin: int, partitions: int, turn: int) -> pa.RecordBatch:
+    """The entries of an overfull partition, packed for `partitions` smaller ones. The first time they part by gram and by
+    the text's length, in steps of a quarter, and evaluation grams go to all steps that may hold a match. Later, each side
+    parts in SALT by ids and places and goes to all parts of the other, so that a single gram's group is cut up however large."""
+    n, train = e["length"].astype(np.int64), (e["side"] & TRAIN) != 0
+    if turn == 0:
+        step = lambda n: np.floor(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int64)
+        low, high = step(np.where(train, n, n - n // EDITS - 1)), step(np.where(train, n, n + n // (EDITS - 1) + 1))
+        row, cell = _expand(low, high - low + 1)
+    else:
+        own = e["id"] * np.uint64(0x9E3779B97F4A7C15) + e["place"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(turn)
+        own = ((own ^ own >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % SALT
+        row = np.repeat(np.arange(e.size), SALT)
+        other = np.tile(np.arange(SALT), e.size)
+        cell = np.where(train[row], own[row] * SALT + other, other * SALT + own[row])
+    e = e[row]
+    key = e["gram"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cell.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(origin) * np.uint64(0x165667B19E3779F9)
+    return _by_part(e, ((key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % partitions)
+
+
+def _searched(blocks: DataFrame, partitions: int, most: int, turn: int) -> DataFrame:
     """(id_e, id_t, part, block): the pairs of each partition, or, of a partition of more than `most` entries, its blocks
     split up, as they come in: no more than that is ever held."""
 
-    def rows(pairs: np.ndarray, blocks: list[tuple[int, bytes]]):
-        n, m = len(pairs), len(blocks)
+    def rows(pairs: np.ndarray, parts: pa.RecordBatch | None):
+        n, m = len(pairs), parts.num_rows if parts else 0
         ids = [pa.array([*pairs[:, i].view(np.int64).tolist(), *[None] * m], pa.int64()) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*ids, pa.array([*[None] * n, *[p for p, _ in blocks]], pa.int32()), pa.array([*[None] * n, *[b for _, b in blocks]], pa.binary())], names=["id_e", "id_t", "part", "block"])
+        more = [pa.concat_arrays([pa.nulls(n, t), parts.column(k)]) if parts else pa.nulls(n, t) for k, t in enumerate((pa.int32(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*ids, *more], names=["id_e", "id_t", "part", "block"])
 
     none = np.zeros((0, 2), np.uint64)
 
@@ -269,50 +261,72 @@ def _searched(blocks: DataFrame, split_into: int | None, most: int) -> DataFrame
             for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 e = _unpacked(b)
                 size[p] = size.get(p, 0) + e.size
-                if split_into and size[p] > most:
+                if size[p] > most:
                     for x in [*held.pop(p, []), e]:
-                        yield rows(none, split_up(x, split_into))
+                        yield rows(none, split_up(x, p, partitions, turn))
                 else:
                     held.setdefault(p, []).append(e)
         for parts in held.values():
-            yield rows(alike_pairs(np.concatenate(parts)), [])
+            yield rows(alike_pairs(np.concatenate(parts)), None)
 
     return blocks.mapInArrow(run, "id_e long, id_t long, part int, block binary")
 
 
-def candidates(values: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
-    """(id_e, id_t): pairs of different texts that share a piece where few enough edits leave it. Partitions that a common
-    piece overfills are split up and searched in a second round."""
-    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    blocks = gram_blocks(values, partitions).repartitionById(partitions, "part")  # as numbered: none gets two by chance
-    first = checkpointed(_searched(blocks, partitions * 8, most))
-    pairs = first.where("part is null")
-    hot = first.where("part is not null").select("part", "block")
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(_searched(hot.repartitionById(partitions * 8, "part"), None, most))
-    return pairs.select("id_e", "id_t").distinct()
-
-
-def near_pairs(values: DataFrame, **limits: int) -> DataFrame:
-    """(id_e, id_t): pairs of different texts within the allowed edits, verified on the whole forms."""
-    pairs = checkpointed(candidates(values, **limits))
+def candidates(texts: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """(id_e, id_t): pairs of different texts that share a piece where few enough edits leave it. There are as many
+    partitions as the texts have pieces and grams for, at the least those of the session's shuffles."""
+    n = F.length("form")
+    entries = texts.agg(F.sum(F.when(F.col("side").bitwiseAND(TRAIN) != 0, F.floor(n / (EDITS - 1)) + 1).otherwise(0) + F.when(F.col("side").bitwiseAND(EVAL) != 0, n).otherwise(0))).first()[0] or 0
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(MOST_PARTITIONS, max(least, 4 * entries // most))
+    blocks, found, turn = gram_blocks(texts, partitions), [], 0
+    while True:
+        more = min(MOST_PARTITIONS, partitions * 2)
+        done = checkpointed(_searched(blocks.repartitionById(partitions, "part"), more, most, turn))  # as numbered: none gets two by chance
+        found.append(done.where("part is null").select("id_e", "id_t"))
+        blocks, partitions, turn = done.where("part is not null").select("part", "block"), more, turn + 1
+        if blocks.isEmpty():
+            return reduce(DataFrame.unionAll, found).distinct()
+
+
+def near_pairs(texts: DataFrame, **limits: int) -> DataFrame:
+    """(h1_e, h2_e, h1_t, h2_t): pairs of different texts within the allowed edits, verified on the whole forms."""
+    pairs = checkpointed(candidates(texts, **limits))
     ids = pairs.select(F.explode(F.array("id_e", "id_t")).alias("id")).distinct()
-    schema = pa.schema([("id", pa.int64()), ("form", pa.string())])
-
-    def forms(batch, folder):
-        texts, _ = _distinct(batch)
-        points, starts, ends = _folded(texts, folder)
+    some = written(texts.join(broadcast_if_small(ids, MOST_BROADCAST), "id").select("id", "h1", "h2", "form"))
+    of = lambda x: some.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "h1", "h2", "form")])
+    most = F.floor(F.greatest(F.length("form_e"), F.length("form_t")) / EDITS).cast("int")
+    joined = pairs.join(of("e"), "id_e").join(of("t"), "id_t").withColumn("most", most)
+    return joined.where(F.expr("levenshtein(form_e, form_t, most) >= 0")).select("h1_e", "h2_e", "h1_t", "h2_t")  # in a band
+
+
+def text_table(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (row_id, eval, field, text): the rows with a 128-bit hash of their form, and the distinct forms as (id, h1, h2,
+    side, form), side having a bit for each field and split that has the form. One pass makes both: the first row of a form
+    in a batch brings the form along."""
+    schema = pa.schema([("row_id", pa.int64()), ("eval", pa.int32()), ("field", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("side", pa.int32()), ("form", pa.string())])
+
+    def work(batch, folder):
+        split, field = (batch.column(i).to_numpy() for i in (1, 2))
+        texts, number = np.unique(np.array(batch.column(3).to_pylist(), object), return_inverse=True)
+        points, starts, ends = _folded(texts.tolist(), folder)
         data = points.astype("<u4").tobytes()
-        return [np.array(_text_ids(points, starts, ends)[0], np.uint64).view(np.int64), [data[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist())]]
-
-    texts = over_batches(values, forms, schema, "id long, form string", PointFolder)
-    few = ids.count() <= MOST_BROADCAST  # then 8 MB at most
-    texts = checkpointed(texts.join(F.broadcast(ids) if few else ids, "id").dropDuplicates(["id"]))
-    e = texts.withColumnsRenamed({"id": "id_e", "form": "e"})
-    t = texts.withColumnsRenamed({"id": "id_t", "form": "t"})
-    most = F.floor(F.greatest(F.length("e"), F.length("t")) / EDITS).cast("int")
-    joined = pairs.join(e, "id_e").join(t, "id_t")
-    return joined.withColumn("most", most).where(F.expr("levenshtein(e, t, most) >= 0")).select("id_e", "id_t")  # in a band
+        forms = [data[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist())]
+        first: dict[str, int] = {}
+        number = np.array([first.setdefault(x, len(first)) for x in forms], np.int64)[number]
+        one, two = (np.array(x, np.uint64).view(np.int64) for x in zip(*(divmod(xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass")), 1 << 64) for x in first)))
+        sides = np.zeros(len(first), np.int32)
+        np.bitwise_or.at(sides, number, np.left_shift(1, field * 2 + split).astype(np.int32))
+        _, at = np.unique(number, return_index=True)
+        brings = np.zeros(number.size, bool)
+        brings[at] = True
+        names = list(first)
+        form = [names[k] if b else None for k, b in zip(number.tolist(), brings.tolist())]
+        return [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), batch.column(2).cast(pa.int32()), one[number], two[number], pa.array(sides[number], pa.int32(), mask=~brings), form]
+
+    rows = written(over_batches(flat, work, schema, "row_id long, eval int, field int, h1 long, h2 long, side int, form string", PointFolder))
+    once = rows.where("form is not null").groupBy("h1", "h2").agg(F.bit_or("side").alias("side"), F.first("form").alias("form"))
+    return rows.select("row_id", "eval", "field", "h1", "h2"), written(once.withColumn("id", F.monotonically_increasing_id()))
 
 
 def cross_split_pairs(records: DataFrame, **limits: int) -> DataFrame:
@@ -323,21 +337,12 @@ def cross_split_pairs(records: DataFrame, **limits: int) -> DataFrame:
     flat = records.where("split is not null").select(
         "row_id", side.alias("eval"), F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(FIELDS)])).alias("x")
     ).where("x.text is not null and eval is not null").select("row_id", "eval", "x.field", "x.text")
-    schema = pa.schema([("row_id", pa.int64()), ("eval", pa.int32()), ("field", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
-
-    def members(batch, folder):
-        points, starts, ends = _folded(batch.column(3).to_pylist(), folder)
-        one, two = (np.array(x, np.uint64).view(np.int64) for x in _text_ids(points, starts, ends))
-        return [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), batch.column(2).cast(pa.int32()), one, two]
-
-    rows = checkpointed(over_batches(flat, members, schema, "row_id long, eval int, field int, h1 long, h2 long", PointFolder))
-    # Side bits: 1 and 4 training, 2 and 8 evaluation, of the two fields.
-    near = checkpointed(near_pairs(flat.select("text", F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), F.col("field") * 2 + F.col("eval") + 1).alias("side")), **limits))
-    e, t = rows.where("eval = 1"), rows.where("eval = 0")
-    equal = e.select(F.col("row_id").alias("a"), "field", "h1", "h2").join(t.select(F.col("row_id").alias("b"), "field", "h1", "h2"), ["field", "h1", "h2"])
-    e1 = e.select(F.col("row_id").alias("a"), "field", F.col("h1").alias("id_e"))
-    t1 = t.select(F.col("row_id").alias("b"), "field", F.col("h1").alias("id_t"))
-    almost = near.join(e1, "id_e").join(t1, ["id_t", "field"])
+    rows, texts = text_table(flat)
+    near = checkpointed(near_pairs(texts, **limits))
+    e = rows.where("eval = 1").select(F.col("row_id").alias("a"), "field", F.col("h1").alias("h1_e"), F.col("h2").alias("h2_e"))
+    t = rows.where("eval = 0").select(F.col("row_id").alias("b"), "field", F.col("h1").alias("h1_t"), F.col("h2").alias("h2_t"))
+    equal = e.join(t, (F.col("h1_e") == F.col("h1_t")) & (F.col("h2_e") == F.col("h2_t")) & (e["field"] == t["field"]))
+    almost = near.join(e, ["h1_e", "h2_e"]).join(t, ["h1_t", "h2_t", "field"])
     return equal.select("a", "b").unionAll(almost.select("a", "b")).distinct().select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 

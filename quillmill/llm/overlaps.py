@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, checkpointed, over_batches, spread, table, written
+from ..runtime import broadcast_if_small, over_batches, spread, table, written
 from .leaks import _expand, gram_hashes
 from .lookalikes import PointFolder
 
@@ -33,6 +33,7 @@ MOST_BROADCAST = 500_000
 # Pieces and grams (of 29 bytes) that one task may hold before it splits its partition up; partitions are made for a quarter
 # of it, but not more of them than a shuffle can keep track of. SALT: in how many parts of each side a later split cuts.
 MOST_ENTRIES, MOST_PARTITIONS, SALT = 1_000_000, 100_000, 4
+KINDS = 21
 FIELDS = ("original", "corrupted")
 ENTRY = np.dtype([("gram", "<u4"), ("place", "<u4"), ("length", "<u4"), ("side", "u1"), ("id", "<u8"), ("sketch", "<u8")])
 # Bits of `side` over those of the fields: which of PIECES, and that the place counts from the end.
@@ -113,19 +114,19 @@ def _concatenated(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def character_counts(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How many characters of each of 16 kinds a text has, modulo 16: one edit changes two of them by one at most."""
-    kind = ((points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.int64)
+    """How many characters of each of KINDS kinds a text has, modulo 8: one edit changes two of them by one at most. Kinds go
+    by code point, so that most letters of an alphabet have a kind of their own."""
     owner = np.repeat(np.arange(starts.size), ends - starts)
-    n = np.bincount(owner * 16 + kind, minlength=16 * starts.size).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
-    return (n << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
+    n = np.bincount(owner * KINDS + points.astype(np.int64) % KINDS, minlength=KINDS * starts.size).reshape(-1, KINDS).astype(np.uint64) & np.uint64(7)
+    return (n << (np.arange(KINDS, dtype=np.uint64) * np.uint64(3))).sum(1, dtype=np.uint64)
 
 
 def count_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least sum of differences of the counts, given them modulo 16."""
+    """The least sum of differences of the counts, given them modulo 8."""
     out = np.zeros(a.size, np.int64)
-    for i in range(0, 64, 4):
-        d = ((a >> np.uint64(i)) - (b >> np.uint64(i))) & np.uint64(15)
-        out += np.minimum(d, np.uint64(16) - d).astype(np.int64)
+    for i in range(0, 3 * KINDS, 3):
+        d = ((a >> np.uint64(i)) - (b >> np.uint64(i))) & np.uint64(7)
+        out += np.minimum(d, np.uint64(8) - d).astype(np.int64)
     return out
 
 
@@ -282,7 +283,7 @@ def candidates(texts: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     blocks, found, turn = gram_blocks(texts, partitions), [], 0
     while True:
         more = min(MOST_PARTITIONS, partitions * 2)
-        done = checkpointed(_searched(blocks.repartitionById(partitions, "part"), more, most, turn))  # as numbered: none gets two by chance
+        done = written(_searched(blocks.repartitionById(partitions, "part"), more, most, turn))  # as numbered: none gets two by chance
         found.append(done.where("part is null").select("id_e", "id_t"))
         blocks, partitions, turn = done.where("part is not null").select("part", "block"), more, turn + 1
         if blocks.isEmpty():
@@ -291,7 +292,7 @@ def candidates(texts: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
 
 def near_pairs(texts: DataFrame, **limits: int) -> DataFrame:
     """(h1_e, h2_e, h1_t, h2_t): pairs of different texts within the allowed edits, verified on the whole forms."""
-    pairs = checkpointed(candidates(texts, **limits))
+    pairs = written(candidates(texts, **limits))
     ids = pairs.select(F.explode(F.array("id_e", "id_t")).alias("id")).distinct()
     some = written(texts.join(broadcast_if_small(ids, MOST_BROADCAST), "id").select("id", "h1", "h2", "form"))
     of = lambda x: some.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "h1", "h2", "form")])
@@ -338,12 +339,15 @@ def cross_split_pairs(records: DataFrame, **limits: int) -> DataFrame:
         "row_id", side.alias("eval"), F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(FIELDS)])).alias("x")
     ).where("x.text is not null and eval is not null").select("row_id", "eval", "x.field", "x.text")
     rows, texts = text_table(flat)
-    near = checkpointed(near_pairs(texts, **limits))
+    # Forms that both sides of a field have are their own partners; only rows of forms with a partner are joined.
+    shared = F.col("side").bitwiseAND(TRAIN) * 2
+    own = texts.where(shared.bitwiseAND(F.col("side")) != 0).select(*[F.col(c).alias(f"{c}_{x}") for x in "et" for c in ("h1", "h2")])
+    forms = written(own.unionByName(near_pairs(texts, **limits)))
     e = rows.where("eval = 1").select(F.col("row_id").alias("a"), "field", F.col("h1").alias("h1_e"), F.col("h2").alias("h2_e"))
     t = rows.where("eval = 0").select(F.col("row_id").alias("b"), "field", F.col("h1").alias("h1_t"), F.col("h2").alias("h2_t"))
-    equal = e.join(t, (F.col("h1_e") == F.col("h1_t")) & (F.col("h2_e") == F.col("h2_t")) & (e["field"] == t["field"]))
-    almost = near.join(e, ["h1_e", "h2_e"]).join(t, ["h1_t", "h2_t", "field"])
-    return equal.select("a", "b").unionAll(almost.select("a", "b")).distinct().select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    wanted = lambda side, x: side.join(broadcast_if_small(forms.select(f"h1_{x}", f"h2_{x}").distinct(), MOST_BROADCAST), [f"h1_{x}", f"h2_{x}"], "left_semi")
+    both = forms.join(wanted(e, "e"), ["h1_e", "h2_e"]).join(wanted(t, "t"), ["h1_t", "h2_t", "field"])
+    return both.select("a", "b").distinct().select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

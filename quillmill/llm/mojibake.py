@@ -29,8 +29,8 @@ PRIOR, ROUNDS, RANGE = 0.01, 8, 40
 BACK = 4.0
 # Gain of a short value all of whose characters are one letter.
 SURE = 12.0
-# The swap that loses most bytes, and from how many lost characters and what share of them on a text is ruined by one.
-HEAVY, RUINED = 3, (5, 0.15)
+# The swap that loses most bytes: a lost character that no swap explains is put down to it.
+HEAVY = 3
 LETTERS = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2})+")
 PAIRS = re.compile(rb"(?:[\xa1-\xa9\xb0-\xf7][\xa1-\xfe])+")
 BROKEN = re.compile(rb"[\xe2-\xef][\x80-\xbf]")
@@ -210,16 +210,11 @@ def best_reading(text: str, model: Model, swaps: list[int] | None = None) -> tup
                 gain, restored, units = gain + again, twice, units + more
             if gain > max(best[1], 2.0):
                 best = (k, gain, restored, units)
-    if best[0] < 0 and ruined(text):
+    if best[0] < 0 and LOST in text:  # bytes that had no character in the page they were read in, and nothing else is left
         return (HEAVY, SURE, text, [])
     return best
 
 
-def ruined(text: str) -> bool:
-    """So many bytes had no character in the page that next to nothing can be had back."""
-    return text.count(LOST) >= RUINED[0] and text.count(LOST) >= RUINED[1] * len(text)
-
-
 def suspects(texts: list[str]) -> list[list[int]]:
     """The swaps that each text needs to be tried for: those of which a garbled letter may stand in it. One look at all
     code points of a batch; nothing that a swap could explain is passed over."""
@@ -252,7 +247,7 @@ def suspects(texts: list[str]) -> list[list[int]]:
                 hit = three | two_bytes & (near & (b > 0)) | row & np.append(row[1:], False)
         marks.append(np.concatenate([[0], np.cumsum(hit)]))
     start = np.concatenate([[0], ends[:-1]]) if len(texts) else ends
-    marks[HEAVY] = marks[HEAVY] + np.concatenate([[0], np.cumsum(p == 0xFFFD)]) // RUINED[0]
+    marks[HEAVY] = marks[HEAVY] + np.concatenate([[0], np.cumsum(p == 0xFFFD)])
     many = np.stack([m[ends] - m[start] for m in marks]) if len(texts) else np.zeros((len(SWAPS), 0), int)
     return [[k for k in range(len(SWAPS)) if many[k, i] or short[i] and not texts[i].isascii()] for i in range(len(texts))]
 

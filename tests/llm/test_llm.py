@@ -287,8 +287,9 @@ def test_garbled(spark):
         1003: clean[3][:10] + clean[3][10:].encode().decode("latin-1"),
         1004: clean[4].encode().decode("latin-1").encode().decode("latin-1"),
         1005: "Le prÃ©posÃ© a vÃ©rifiÃ© la clÃ© fermÃ©e.",
+        1006: "管理�记录了水渠。",  # one character, all of whose bytes were lost in reading
     }
-    good = {2000: "涓师傅不知道水渠，", 2001: "é", 2002: "Ã", 2003: "£", 2004: "管理�记录了水渠。", 2005: "", 2006: None, 2007: "字" * 50000}
+    good = {2000: "涓师傅不知道水渠，", 2001: "é", 2002: "Ã", 2003: "£", 2005: "", 2006: None, 2007: "字" * 50000}
     rows = [("original", i, "s", t) for i, t in enumerate(clean)] + [("original", i, "s", t) for i, t in {**bad, **good}.items()]
     df = spark.createDataFrame(rows, "field string, row_id long, source string, text string").withColumn("gain", F.lit("clash"))
     model = mojibake.Model.learn(df.select("text"))

@@ -1,13 +1,15 @@
 """Problem 5: values cut off by field limits.
 
-Lengths are recomputed under the encodings a store may have counted in; grouped by source, a limit shows as a largest
-length that many values share. A value at a hidden limit, or whose ending is not an ending, or which another record
-of the same sample continues, is cut.
+Lengths are recomputed under the encodings a store may have counted in; grouped by source, a limit shows as a length that
+stands out. Values at a limit are candidates by that, and endings, learned ones too, and what other records of the sample
+hold decide; values cut anywhere are found by the latter alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import spread, table
@@ -17,9 +19,12 @@ PAD, CLS, SEP, MASKED, IGNORE = 0, 101, 102, 103, -100
 # An added mark of omission or a broken last character, which a cut may leave.
 OMISSION = r"(?:\[(?:\.\.\.|…)\]|[(（](?:\.\.\.|…)[)）]|\s*[(（\[](?:cont|续|未完)[^()（）\[\]]{0,12}[)）\]]?|(?<![…])…|(?<!\.)\.\.\.|�+)\s*$"
 CLOSED = r"(?:[。！？!?.…｡।]|[。！？…!?.][”」』\"])\s*$"
-TITLE = r"^关于.*的(?:方案|办法|意见|报告|细则|通知|规定|说明|建议|总结|计划|公告|请示|批复|函|决定|通报|纪要|制度)\s*$"
-# A limit is believed where so many endless values, and such a share of a source's, have one length.
-MIN_AT_LIMIT, SHARE_AT_LIMIT = 4, 0.2
+# A length stands out if so many values have it, and so many times as many as have each of the lengths below it on average.
+MIN_AT_LIMIT, STANDS_OUT, BELOW = 4, 5, 8
+# Units in which a limit may fall into a character, so that a cut value is up to three short of it.
+BYTES = ["utf8", "gbk", "entities_utf8"]
+# An ending without a mark is one of full texts (a title's) if so many values have it and such a share of these end as their source text does.
+MIN_ENDING, SHARE_ENDING = 4, 0.8
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -44,29 +49,48 @@ def bare(text: Column) -> Column:
 
 
 def _endless(text: Column) -> Column:
-    """No sentence, no title: the ending is none, or a quotation is still open."""
+    """No sentence: the ending is none, or a quotation is still open."""
     opened = F.length(F.regexp_replace(text, "[^“]", "")) > F.length(F.regexp_replace(text, "[^”]", ""))
-    return (~text.rlike(CLOSED) & ~text.rlike(TITLE)) | (opened & text.rlike(r"\p{IsHan}"))
+    return ~text.rlike(CLOSED) | (opened & text.rlike(r"\p{IsHan}"))
+
+
+def standing_out(sizes: DataFrame) -> DataFrame:
+    """(source, unit, cap, n_at_cap, n_closed, by_chance) of (source, unit, n, closed): the lengths that stand out among the
+    values of a source that aren't closed. `by_chance` is how many closed ones at a limit the lengths below it make expect.
+    Histograms are summed map-side."""
+    n = sizes.groupBy("source", "unit", "n").agg(F.count_if(~F.col("closed")).alias("k"), F.count_if("closed").alias("c"))
+    w = Window.partitionBy("source", "unit").orderBy("n").rangeBetween(-BELOW, -1)
+    near = n.select("*", *[(F.coalesce(F.sum(x).over(w), F.lit(0)) / BELOW).alias(f"{x}_below") for x in "kc"])
+    out = near.where((F.col("k") >= MIN_AT_LIMIT) & (F.col("k") >= STANDS_OUT * F.col("k_below")))
+    return out.select("source", "unit", F.col("n").alias("cap"), (F.col("k") + F.col("c")).alias("n_at_cap"), F.col("c").alias("n_closed"), F.col("c_below").alias("by_chance"))
 
 
 def hidden_limits(df: DataFrame, source: str, text: str) -> DataFrame:
-    """(source, unit, cap, n_at_cap, n_endless): for each source and unit the length that most endless values have, if
-    it stands out. Null texts count nothing; a null source is a source. The length histograms are summed map-side."""
+    """As `standing_out`, of the lengths of a text without added marks in every unit. Null texts count nothing; a null
+    source is a source."""
     t = F.col(text)
-    long = df.where(t.isNotNull() & _endless(t)).select(
-        F.coalesce(F.col(source), F.lit("")).alias("source"),
-        F.explode(F.create_map(*[x for k, v in lengths(bare(t)).items() for x in (F.lit(k), v)])).alias("unit", "n"),
+    sizes = df.where(t.isNotNull()).select(
+        F.coalesce(F.col(source), F.lit("")).alias("source"), (~_endless(t)).alias("closed"), F.explode(F.create_map(*[x for k, v in lengths(bare(t)).items() for x in (F.lit(k), v)])).alias("unit", "n")
     )
-    by_length = long.groupBy("source", "unit", "n").count()
-    cap = by_length.groupBy("source", "unit").agg(F.max_by("n", F.struct("count", "n")).alias("cap"), F.max("count").alias("n_at_cap"), F.sum("count").alias("n_endless"))
-    return cap.where((F.col("n_at_cap") >= MIN_AT_LIMIT) & (F.col("n_at_cap") >= SHARE_AT_LIMIT * F.col("n_endless")))
+    return standing_out(sizes)
+
+
+def title_endings(texts: DataFrame) -> DataFrame:
+    """(ending): the last two code points that full texts without a closing mark have, learned from (source_text,
+    target_text): cut texts end anywhere, and seldom where their source does."""
+    ending = F.right("target_text", F.lit(2))
+    rows = texts.where(F.col("source_text").isNotNull() & _endless(F.col("target_text"))).groupBy(ending.alias("ending"))
+    seen = rows.agg(F.count("*").alias("n"), F.count_if(F.right("source_text", F.lit(2)) == F.right("target_text", F.lit(2))).alias("k"))
+    return seen.where((F.col("n") >= MIN_ENDING) & (F.col("k") >= SHARE_ENDING * F.col("n"))).select("ending")
 
 
 def cut_values(inputs: DataFrame, samples: DataFrame, closing: list[int], unknown: int = 100) -> DataFrame:
     """(field, row_id) of the cut values.
 
-    A text is cut if its ending is none, if a mark of omission was added, if another row or record of its sample holds
-    more of it, or if its source text plainly goes on (at a hidden limit, less of that is asked). A vector is cut if
+    A text at a hidden limit of its source is a candidate by that alone: it is cut if it has no ending, if its source text
+    goes on, or if closed texts at this limit are mostly more than chance would have. Any other text is cut if its ending
+    is none (neither a mark nor a title's), if a mark of omission was added, if another row or record of its sample holds
+    more of it, or if its source text plainly goes on. A vector is cut if
     its text holds more than it, if it breaks off without [SEP] or with [MASK]s left, or if it fills its width without
     an ending. Null texts and vectors are no case; an empty text is one, as it ends nowhere. Rows without a partner are
     judged by themselves. `closing` are the token ids of closing marks, a list bounded by the vocabulary.
@@ -92,21 +116,28 @@ def cut_values(inputs: DataFrame, samples: DataFrame, closing: list[int], unknow
     texts = inputs.select("row_id", "sample_id", "source", "source_text", "target_text", bare(F.col("target_text")).alias("t"))
     per_text = texts.groupBy("sample_id").agg(F.max(F.length(src)).alias("n_source"), F.max(F.length(t)).alias("n_target"))
     per_record = s.groupBy("sample_id").agg(F.max("n_labels").alias("n_full"))
-    caps = hidden_limits(inputs, "source", "target_text").groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("unit", "cap"))).alias("caps"))
+    chance = F.col("by_chance") + 1
+    cap = F.struct("unit", "cap", (F.col("n_closed") > 2 * chance + 3 * F.sqrt(chance)).alias("beyond_chance"))
+    caps = hidden_limits(inputs, "source", "target_text").groupBy("source").agg(F.collect_list(cap).alias("caps"))
     own = F.create_map(*[x for k, v in lengths(t).items() for x in (F.lit(k), v)])
-    at_limit = F.coalesce(F.exists(F.map_entries("caps"), lambda e: own[e["key"]].between(e["value"] - 3, e["value"])), F.lit(False))
+    hit = F.filter("caps", lambda c: (own[c["unit"]] <= c["cap"]) & (own[c["unit"]] >= c["cap"] - F.when(c["unit"].isin(BYTES), 3).otherwise(0)))
+    at_limit, beyond = F.size("hit") > 0, F.exists("hit", lambda c: c["beyond_chance"])
     tail = F.levenshtein(F.right(t, F.lit(10)), F.right(src, F.lit(10)))
+    goes_on = lambda more, other: F.coalesce(src.rlike(CLOSED) & (F.length(src) - F.length(t) >= more) & (tail >= other), F.lit(False))
+    open_end = _endless(F.col("target_text")) & F.col("ending").isNull()
     target = (
         texts.where("target_text is not null")
         .withColumn("source", F.coalesce("source", F.lit("")))
         .join(per_record, "sample_id", "left")
         .join(per_text, "sample_id", "left")
         .join(caps, "source", "left")
+        .join(title_endings(inputs), F.right("target_text", F.lit(2)) == F.col("ending"), "left")
+        .withColumn("hit", F.coalesce(hit, F.filter("caps", lambda c: F.lit(False)), F.array().cast("array<struct<unit:string,cap:int,beyond_chance:boolean>>")))
         .where(
             F.coalesce(F.length(t) < F.greatest("n_full", "n_target"), F.lit(False))
-            | _endless(F.col("target_text"))
+            | open_end
             | F.col("target_text").rlike(OMISSION)
-            | F.coalesce(src.rlike(CLOSED) & (F.length(src) - F.length(t) >= F.when(at_limit, 3).otherwise(6)) & (tail >= F.when(at_limit, 6).otherwise(8)), F.lit(False))
+            | F.when(at_limit, goes_on(3, 6) | (src.isNull() & F.col("ending").isNull() & beyond)).otherwise(goes_on(6, 8))
         )
     )
     vectors = s.join(per_text, "sample_id", "left")
@@ -130,8 +161,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hidden limits of target_text by source and unit."""
-    return hidden_limits(_tables(spark, sf_dir)[0], "source", "target_text")
+    """The lengths that stand out by field, source and unit: hidden limits of target_text, and of the vectors without padding."""
+    inputs, samples, _ = _tables(spark, sf_dir)
+    source = F.coalesce("source", F.lit("")).alias("source")
+    n = lambda c, none: F.size(F.filter(c, lambda x: x != none))
+    sizes = lambda c, none: samples.where(F.col(c).isNotNull()).select(source, F.lit("ids").alias("unit"), n(c, none).alias("n"), F.lit(False).alias("closed"))
+    found = {"target_text": hidden_limits(inputs, "source", "target_text"), "input_ids": standing_out(sizes("input_ids", PAD)), "infill_labels": standing_out(sizes("infill_labels", IGNORE))}
+    return reduce(DataFrame.unionAll, [x.select(F.lit(k).alias("field"), "*") for k, x in found.items()])
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,9 @@ def test_blocks_round_trip():
 def test_cut_values(spark):
     full = "甲乙丙丁戊己庚辛壬癸。"
     inputs = [(i, f"s{i}", "a", full, t, 0) for i, t in enumerate([full, full[:6], full[:6] + "[...]", full[:6] + "…", full[:5] + "�", "关于加固甲的方案", "关于加固", None, "“甲。乙"])]
+    # The ending of titles is learned from those that end as their source does; a limit from lengths that stand out.
+    inputs += [(20 + i, f"t{i}", "a", f"关于关于{c}的方案", f"关于{c}的方案", 0) for i, c in enumerate("甲乙丙丁戊")]
+    inputs += [(30 + i, f"u{i}", "b", None, ("甲乙丙丁戊己庚辛壬癸" * 3)[i : i + 12], 0) for i in range(9)] + [(50, "v0", "b", "甲乙丙丁戊己庚辛壬癸子，天地玄黄宇宙洪荒日月盈昃。", "甲乙丙丁戊己庚辛壬癸子。", 0), (51, "v1", "b", None, "甲乙。", 0)]
     ids = lambda n, width=16, sep=True: ([101, *range(104, 104 + n), *([102] * sep)] + [0] * width)[:width]
     samples = [(i, f"s{i}", "a", ids(len(full)), [101, 102] + [103] * len(full) + [102, 0], [-100, -100] + [104] * len(full) + [-100, -100]) for i in range(4)]
     samples += [(10, "s9", "a", ids(4), None, None), (11, "s0", "a", ids(4), [101, 103, 103, 102, 0], [-100, 104, -100, -100, -100]), (12, "s0", "a", ids(5, sep=False), None, None), (13, None, "a", None, None, None)]
@@ -262,15 +265,18 @@ def test_cut_values(spark):
     got = {}
     for r in truncation.cut_values(a, b, [104]).collect():
         got.setdefault(r.field, set()).add(r.row_id)
-    assert got == {"target_text": {1, 2, 3, 4, 6, 8}, "input_ids": {11, 12}, "infill_labels": {11}}
+    assert got == {"target_text": {1, 2, 3, 4, 6, 8, *range(30, 39), 50}, "input_ids": {11, 12}, "infill_labels": {11}}
     assert truncation.cut_values(a.limit(0), b.limit(0), []).count() == 0
 
 
 def test_hidden_limits(spark):
-    rows = [("a", "字" * 20, 1) for _ in range(10)] + [("b", "é" * n + "。", 1) for n in range(5, 15)] + [(None, None, 1)]
+    rows = [("a", "字" * 20, 1) for _ in range(10)] + [("a", "字" * 35, 1) for _ in range(8)] + [("b", "é" * n + "。", 1) for n in range(5, 15)] + [("c", "é" * n, 1) for n in range(5, 45)] + [(None, None, 1)]
     df = spark.createDataFrame(rows, "source string, text string, unit int")
-    got = {(r.source, r.unit): r.cap for r in truncation.hidden_limits(df, "source", "text").collect()}
-    assert got["a", "chars"] == 20 and got["a", "utf8"] == 60 and got["a", "gbk"] == 40 and not any(k[0] == "b" for k in got)
+    got = {}
+    for r in truncation.hidden_limits(df, "source", "text").collect():
+        got.setdefault((r.source, r.unit), set()).add((r.cap, r.n_at_cap))
+    assert got["a", "chars"] == {(20, 10), (35, 8)} and got["a", "utf8"] == {(60, 10), (105, 8)} and got["a", "gbk"] == {(40, 10), (70, 8)}
+    assert {k[0] for k in got} == {"a"}  # closed texts and lengths of all sizes show no limit
 
 
 # ---- problem 6

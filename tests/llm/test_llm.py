@@ -395,6 +395,29 @@ def test_rule_induction_on_held_out_rows():
     assert quality.induce_rules(x[:0], y[:0], ["a"]) == []
 
 
+def test_rules_hold_on_labelled_documents_that_they_have_not_seen():
+    x, y = quality.labelled()
+    rng, right = np.random.default_rng(9), []
+    at = rng.permutation(len(x))
+    for k in range(5):
+        held = at[k::5]
+        rules = quality.induce_rules(np.delete(x, held, 0), np.delete(y, held), ["table", "junk", "list"])
+        got = np.full(len(held), "prose", dtype=object)
+        for rule, label in reversed(rules):
+            got[quality._cover(x[held], rule)] = label
+        right.append(got == y[held])
+    right, true = np.concatenate(right), np.concatenate([y[at[k::5]] for k in range(5)])
+    assert len(x) == 5419 and right.mean() > 0.99 and all(right[true == k].mean() > 0.97 for k in ("prose", "table", "list", "junk"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_labelled_statistics_are_those_of_the_documents(spark):
+    docs, common = quality._inputs(spark, "/root/testdata/sf0.1")
+    some = {int(k): v for k, v in zip(*np.genfromtxt(quality.__file__.replace("quality.py", quality.LABELLED), delimiter=",", names=True, usecols=(0, 2), unpack=True))}
+    rows = quality.statistics(docs.where("doc_id < 300"), "doc_id", "text", common).collect()
+    assert all(abs(r.lines - some[r.doc_id]) < 1e-6 for r in rows if r.doc_id in some)
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "The cat, 12.\n- a\n\nx|y", 0), (2, "中文字。", 0), (3, "", 0), (4, None, 0), (5, " \n ", 0), (6, "字" * 100000, 0)], "id long, text string, lines int")
     got = {r.id: r for r in quality.statistics(df, "id", "text", ["the", "中"]).collect()}

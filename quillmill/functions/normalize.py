@@ -23,9 +23,19 @@ def width_table(keep: bool = True) -> tuple[str, str]:
     return wide, "".join(" " if c == "　" else chr(ord(c) - 0xFEE0) for c in wide)
 
 
+# What NFKC or the removal of category C may change: all but ASCII letters and marks, ideographs, kana and Cyrillic as they are.
+MAY_CHANGE = r"[^\t\n\r\x20-\x7e\u00b7\u00df-\u00ff\u0410-\u044f\u2013\u2014\u2018-\u201d\u3001-\u3002\u3008-\u3011\u3041-\u3096\u30a1-\u30fc\u4e00-\u9fff]"
+
+
+def compatibility_form(text: Column) -> Column:
+    """NFKC, and without characters of category C other than blank, tab and line ends. No built-in has either; Python sees
+    only the texts that have a character which may change."""
+    some = F.when(text.rlike(MAY_CHANGE), text)
+    return F.when(text.rlike(MAY_CHANGE), _compatibility_form(some)).otherwise(text)
+
+
 @F.pandas_udf(StringType())
-def compatibility_form(s: pd.Series) -> pd.Series:
-    """NFKC, and without characters of category C other than blank, tab and line ends. No built-in has either."""
+def _compatibility_form(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFKC", x) if c in " \t\n\r" or unicodedata.category(c)[0] != "C"))
 
 
@@ -54,3 +64,7 @@ def normalize(text: Column, unicode: bool = True, width: bool = True, blanks: bo
     if width:
         text = half_width(text, keep)
     return tidy_lines(text) if blanks else text
+
+
+def normalize_pair(source: Column, target: Column, **options: bool) -> tuple[Column, Column]:
+    return normalize(source, **options), normalize(target, **options)

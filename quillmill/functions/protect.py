@@ -29,6 +29,7 @@ ORGANIZATION = rf"{HAN}{{2,}}(?:{'|'.join(BODIES)})"
 PRESETS = {"default": [*PATTERNS, "organization"], "document": [*PATTERNS, "organization"], "minimal": ["date", "amount"]}
 # Marks that are never edited.
 PUNCTUATION = "。，、；：？！\"【】《》（）—…·「」『』〈〉〔〕"
+FIXED = rf"[{re.escape(PUNCTUATION)}\p{{Z}}\s\x00\x1c-\x1f]"
 
 
 def find_all(text: Column, pattern: str, kind: str, confidence: float = 1.0) -> Column:
@@ -80,9 +81,10 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
 
 def editable_positions(text: Column, spans: Column | None = None) -> Column:
     """0-based positions that are no punctuation, no white space and in no span (an array of structs start, end)."""
-    ok = lambda c: ~c.rlike(rf"[{re.escape(PUNCTUATION)}\p{{Z}}\s\x1c-\x1f]")
-    free = (lambda c, i: ok(c)) if spans is None else lambda c, i: ok(c) & ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"]))
-    at = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(free(c, i), i)), lambda i: i.isNotNull())
+    # One pass replaces what isn't free by a sign that no character to edit is; then places are told by comparing.
+    signs = F.split(F.regexp_replace(text, FIXED, "\x00"), "")
+    free = (lambda c, i: c != "\x00") if spans is None else lambda c, i: (c != "\x00") & ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"]))
+    at = F.filter(F.transform(signs, lambda c, i: F.when(free(c, i), i)), lambda i: i.isNotNull())
     return F.when(F.length(text) > 0, at).otherwise(F.array().cast("array<int>"))
 
 

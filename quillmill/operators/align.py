@@ -91,7 +91,10 @@ def applied(ops: Column) -> Column:
 
 
 def op_counts(ops: Column) -> list[Column]:
-    return [F.size(F.filter(ops, lambda o, k=k: o["op_type"] == k)).alias(n) for k, n in enumerate(("n_keep", "n_delete", "n_replace", "n_insert"))]
+    def of(k: int) -> Column:  # a second parameter of the lambda would be the place in the array
+        return F.size(F.filter(ops, lambda o: o["op_type"] == k))
+
+    return [of(k).alias(n) for k, n in enumerate(("n_keep", "n_delete", "n_replace", "n_insert"))]
 
 
 def shown(ops: Column) -> Column:

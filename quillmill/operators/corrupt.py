@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import SPAN, by_thresholds, draw, length_rate, poisson_column, truncated_poisson
+from ..functions.draws import SPAN, by_thresholds, draw, length_rate, let, poisson_column, truncated_poisson
 from ..functions.protect import editable_positions
 
+# Heads of confusions that may be a literal in the plan.
+MOST_LITERAL = 20_000
+
 
 @dataclass(frozen=True)
 class ErrorSettings:
@@ -39,9 +43,9 @@ class ErrorSettings:
 PRESETS = {
     "default": ErrorSettings(),
     "balanced": ErrorSettings(skip=1 / 3, multiply=1 / 3, replace=1 / 3),
-    "insert_focused": ErrorSettings(skip=0.5, multiply=0.2, replace=0.3),
+    "insert_focused": ErrorSettings(skip=0.35, multiply=0.35, replace=0.3),
     "conservative": ErrorSettings(p_corrupt=0.5, rate=1.0, most_edits=2),
-    "aggressive": ErrorSettings(p_corrupt=0.9, rate=2.0, most_edits=6),
+    "aggressive": ErrorSettings(p_corrupt=0.8, rate=2.0, most_edits=4),
 }
 
 
@@ -55,21 +59,47 @@ def error_kind(value: Column, settings: ErrorSettings = ErrorSettings()) -> Colu
     return by_thresholds(value, settings.shares, ["S", "M", "R"])
 
 
+class Confusable:
+    """Confusions as a literal: per code point of the basic plane an array, for other heads a map. Made only from at most
+    MOST_LITERAL heads; a larger set is joined."""
+
+    def __init__(self, lists: dict[str, list[str]]) -> None:
+        plain = {ord(c): v for c, v in lists.items() if len(c) == 1 and ord(c) < 0x10000}
+        self.size = max(plain, default=-1) + 1
+        self.table = F.from_json(F.lit(json.dumps([plain.get(o) for o in range(self.size)])), "array<array<string>>")
+        self.rest = F.from_json(F.lit(json.dumps({c: v for c, v in lists.items() if len(c) != 1 or ord(c) >= 0x10000})), "map<string,array<string>>")
+
+    def __call__(self, char: Column) -> Column:
+        """The confusions of a character, or null."""
+        point = F.ascii(char)
+        return F.when(point < min(self.size, 0x10000), F.get(self.table, point)).otherwise(self.rest[char])
+
+    @classmethod
+    def of(cls, confusions: DataFrame) -> Confusable | None:
+        rows = confusions.where(F.size("confusions") > 0).select("char", "confusions").limit(MOST_LITERAL + 1).collect()
+        return cls({r.char: list(r.confusions) for r in rows}) if len(rows) <= MOST_LITERAL else None
+
+
+def _chosen(free: Column, wanted: Column, d) -> Column:
+    """`wanted` of the free places in order, drawn without replacement, a draw a place."""
+    step = lambda z, j: let(F.get(z["rest"], (d("at", j) % F.greatest(F.size(z["rest"]), F.lit(1))).cast("int")), lambda p: F.struct(F.array_remove(z["rest"], p).alias("rest"), F.array_append(z["at"], p).alias("at")))
+    start = lambda f: F.struct(f.alias("rest"), F.array().cast("array<int>").alias("at"))
+    turns = lambda f: F.slice(F.sequence(F.lit(0), F.lit(99)), F.lit(1), F.least(wanted, F.size(f)))
+    return let(free, lambda f: F.array_sort(F.aggregate(turns(f), start(f), step)["at"]))
+
+
 def corrupt(df: DataFrame, key: str, text: str, confusions: DataFrame, settings: ErrorSettings = ErrorSettings(), epoch: int = 0, spans: str | None = None) -> DataFrame:
     """`df` with corrupted, is_corrupted, num_edits and edits (position, type, original, error), in places of the
     original. Sentences under the least length, or that the first draw spares, stay as they are; null stays null.
-    A character without confusions is repeated instead of replaced. `confusions` is (char, confusions); it is joined to
-    the few chosen characters only, so it may be of any size."""
+    A character without confusions is repeated instead of replaced. `confusions` is (char, confusions); rows aren't
+    shuffled for a set of up to MOST_LITERAL characters, a larger one is joined to the chosen characters."""
     t, s = F.col(text), settings
     d = lambda *slot: draw(s.seed, epoch, F.col(key), *slot)
     free = editable_positions(t, F.col(spans) if spans else None)
-    # A place's rank is a native hash: it is made for every character, unlike the draws.
-    ranked = F.sort_array(F.transform(free, lambda i: F.struct(F.xxhash64(F.lit(s.seed), F.lit(epoch), F.col(key), i).alias("r"), i.alias("position"))))
     go = (F.length(t) >= s.least_length) & (d("gate") < int(s.p_corrupt * SPAN))
     wanted = n_edits(d("n"), s, length_rate(F.length(t)) if s.by_length else None)
-    chosen = df.where(go).select(key, F.col(text).alias("t"), F.explode(F.slice(ranked, 1, wanted)).alias("c")).select(key, "t", "c.position")
-    chosen = chosen.withColumn("original", F.substring("t", F.col("position") + 1, F.lit(1))).withColumn("kind", error_kind(d("kind", F.col("position")), s)).drop("t")
-    return _applied(df, key, text, chosen, confusions, s, d)
+    places = F.when(go, _chosen(free, wanted, d))
+    return _edited(df, key, text, F.transform(places, lambda p: F.struct(p.alias("position"), F.substring(t, p + 1, F.lit(1)).alias("original"), error_kind(d("kind", p), s).alias("kind"))), confusions, s, d)
 
 
 def kinds_in_order(key: Column, settings: ErrorSettings = ErrorSettings(), epoch: int = 0) -> Column:
@@ -85,28 +115,42 @@ def corrupt_typed(df: DataFrame, key: str, text: str, kind: str, confusions: Dat
     t, s = F.col(text), settings
     d = lambda *slot: draw(s.seed, epoch, F.col(key), *slot)
     free = editable_positions(t, F.col(spans) if spans else None)
-    rank = lambda i: F.xxhash64(F.lit(s.seed), F.lit(epoch), F.col(key), i)
-    rows = df.where((F.length(t) >= s.least_length) & F.col(kind).isNotNull()).select(key, F.col(kind).alias("kind"), t.alias("t"), F.transform(free, lambda i: F.struct(rank(i).alias("r"), i.alias("position"))).alias("free"))
-    places = rows.where("kind = 'R'").select(key, F.explode("free").alias("c"), "t").select(key, "c", F.substring("t", F.col("c.position") + 1, F.lit(1)).alias("char"))
-    some = confusions.where(F.size("confusions") > 0).select("char")
-    confusable = places.join(some, "char", "left_semi").groupBy(key).agg(F.min("c").alias("confusable"))
-    chosen = rows.join(confusable, key, "left").withColumn("c", F.coalesce("confusable", F.array_min("free"))).where("c is not null")
-    chosen = chosen.select(key, "c.position", F.substring("t", F.col("c.position") + 1, F.lit(1)).alias("original"), "kind")
-    return _applied(df, key, text, chosen, confusions, s, d)
-
-
-def _applied(df: DataFrame, key: str, text: str, chosen: DataFrame, confusions: DataFrame, s: ErrorSettings, d) -> DataFrame:
-    """`df` with the edits at the chosen (key, position, original, kind) made."""
+    go = (F.length(t) >= s.least_length) & F.col(kind).isNotNull()
+    known = Confusable.of(confusions)
+    if known:
+        some = lambda f: F.when(F.col(kind) == "R", F.filter(f, lambda p: F.size(known(F.substring(t, p + 1, F.lit(1)))) > 0))
+        pool = let(free, lambda f: let(some(f), lambda c: F.when(F.size(c) > 0, c).otherwise(f)))
+    else:
+        rows = df.where(go & (F.col(kind) == "R")).select(key, t.alias("t"), F.explode(free).alias("p")).withColumn("char", F.substring("t", F.col("p") + 1, F.lit(1)))
+        places = rows.join(confusions.where(F.size("confusions") > 0).select("char"), "char", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("_c"))
+        df = df.join(places, key, "left")
+        pool = F.coalesce(F.col("_c"), free)
+    one = F.when(go, _chosen(pool, F.lit(1), d))
+    out = _edited(df, key, text, F.transform(one, lambda p: F.struct(p.alias("position"), F.substring(t, p + 1, F.lit(1)).alias("original"), F.col(kind).alias("kind"))), confusions, s, d, known)
+    return out.drop("_c")
+
+
+def _edit(e: Column, own: Column, s: ErrorSettings, d) -> Column:
+    """(position, type, original, error) of a chosen place, given its character's confusions."""
+    some = F.coalesce(F.size(own) > 0, F.lit(False))
+    kind = F.when((e["kind"] == "R") & ~some, "M").otherwise(e["kind"])
+    repeats = (d("k", e["position"]) % s.most_repeats + 1).cast("int")
+    pick = F.get(own, (d("pick", e["position"]) % F.greatest(F.size(own), F.lit(1))).cast("int"))
+    error = F.when(kind == "S", "").when(kind == "M", F.repeat(e["original"], repeats)).otherwise(pick)
+    return F.struct(e["position"].alias("position"), kind.alias("type"), e["original"].alias("original"), error.alias("error"))
+
+
+def _edited(df: DataFrame, key: str, text: str, places: Column, confusions: DataFrame, s: ErrorSettings, d, known: Confusable | None = None) -> DataFrame:
+    """`df` with the edits at `places`, an array of (position, original, kind) or null, made."""
+    known = known or Confusable.of(confusions)
+    if known:
+        done = df.withColumn("edits", F.transform(places, lambda e: let(known(e["original"]), lambda own: _edit(e, own, s, d))))
+    else:
+        rows = df.select(key, F.explode(places).alias("e")).join(confusions.select(F.col("char").alias("_char"), "confusions"), F.col("e.original") == F.col("_char"), "left")
+        edits = rows.select(key, _edit(F.col("e"), F.col("confusions"), s, d).alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("edits"))
+        done = df.join(edits, key, "left")
+    done = done.withColumn("edits", F.coalesce("edits", F.array().cast(done.schema["edits"].dataType)))
     t = F.col(text)
-    rows = chosen.join(confusions.withColumnRenamed("char", "original"), "original", "left")
-    some = F.coalesce(F.size(F.col("confusions")) > 0, F.lit(False))
-    repeats = (d("k", F.col("position")) % s.most_repeats + 1).cast("int")
-    pick = F.get("confusions", (d("pick", F.col("position")) % F.greatest(F.size("confusions"), F.lit(1))).cast("int"))
-    kind = F.when((F.col("kind") == "R") & ~some, "M").otherwise(F.col("kind"))
-    error = F.when(kind == "S", "").when(kind == "M", F.repeat("original", repeats)).otherwise(pick)
-    rows = rows.withColumn("type", kind).withColumn("error", error)
-    edits = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "type", "original", "error"))).alias("edits"))
-    done = df.join(edits, key, "left").withColumn("edits", F.coalesce("edits", F.array().cast(edits.schema["edits"].dataType)))
     # One pass: pieces between the edits, and what each edit leaves.
     piece = lambda e, i: F.concat(
         F.substring(t, F.when(i == 0, 1).otherwise(F.element_at("edits", i)["position"] + 2), e["position"] - F.when(i == 0, 0).otherwise(F.element_at("edits", i)["position"] + 1)),
@@ -123,10 +167,21 @@ def split_of(value: Column, train: float = 0.8, dev: float = 0.1) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.8, dev: float = 0.1) -> DataFrame:
-    """`df` with `split`, of exactly int(n * share) train and dev rows: rows are ranked by a hash over all rows, by range
-    partitions and their sizes rather than in one task."""
-    n = df.count()
-    ranked = df.withColumn("_h", draw(seed, F.col(key))).orderBy("_h", key)
-    with_index = ranked.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(ranked.schema.add("_i", "long"))
-    i = F.col("_i")
-    return with_index.withColumn("split", F.when(i < int(n * train), "train").when(i < int(n * train) + int(n * dev), "dev").otherwise("test")).drop("_h", "_i")
+    """`df` with `split`, of exactly int(n * share) train and dev rows in order of their draws. Only the draws at the two
+    borders are looked for over all rows, by counts of 65,536 ranges of draws and then of the rows in the two ranges."""
+    h = draw(seed, F.col(key))
+    sizes = sorted((r._b, r.n) for r in df.groupBy(F.shiftright(h, 16).alias("_b")).agg(F.count("*").alias("n")).collect())
+    n = sum(x for _, x in sizes)
+    borders = []
+    for upto in (int(n * train), int(n * train) + int(n * dev)):
+        before = 0
+        for b, x in sizes:
+            if before + x > upto:
+                row = df.where(F.shiftright(h, 16) == b).select(h.alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(upto - before + 1).orderBy(F.desc("h"), F.desc("k")).first()
+                borders.append((row.h, row.k))
+                break
+            before += x
+        else:
+            borders.append(None)
+    under = lambda b: F.lit(True) if b is None else (h < b[0]) | ((h == b[0]) & (F.col(key) < F.lit(b[1])))
+    return df.withColumn("split", F.when(under(borders[0]), "train").when(under(borders[1]), "dev").otherwise("test"))

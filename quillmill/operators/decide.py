@@ -49,6 +49,36 @@ def sparse_template(ids: Column, ops: Column, inserts: Column) -> Column:
     return F.concat(F.array(F.lit(CLS)), F.flatten(F.transform(ids, part)), F.array(F.lit(SEP)))
 
 
+def source_to_template(ops: Column, inserts: Column) -> Column:
+    """For each source id its place in the sparse template ([CLS] is 0), or -1 if it is deleted. `inserts` are budgeted."""
+    def of(w: Column) -> Column:
+        upto = lambda i: F.aggregate(F.slice(w, 1, i), F.lit(1), lambda a, x: a + x["n"])
+        return F.transform(w, lambda x, i: F.when(x["here"], upto(i)).otherwise(-1))
+
+    return let(F.zip_with(ops, inserts, lambda o, i: F.struct((F.when(o.isin(0, 2), 1).otherwise(0) + i.cast("int")).alias("n"), o.isin(0, 2).alias("here"))), of)
+
+
+def padded_batches(rows: DataFrame, batch: str, template: str, width: int = 512) -> DataFrame:
+    """`rows` with template and `mask` filled with [PAD] to the longest template of their batch, `width` at most."""
+    longest = rows.groupBy(batch).agg(F.least(F.max(F.size(template)), F.lit(width)).alias("_w"))
+    fit = lambda a, w, x: F.slice(F.concat(a, F.array_repeat(F.lit(x), w)), F.lit(1), w)
+    out = rows.join(longest, batch)
+    ones = F.transform(template, lambda x: F.lit(1))
+    return out.withColumn("mask", fit(ones, F.col("_w"), 0)).withColumn(template, fit(F.col(template).cast(INT), F.col("_w"), PAD)).drop("_w")
+
+
+def class_weights(most: int = 3, keep: float = 1.0, delete: float = 3.0, replace: float = 2.0, none: float = 1.0, some: float = 5.0) -> tuple[Column, Column]:
+    """Weights of the ops and of the counts of insertions, by label."""
+    return F.array(*map(F.lit, (keep, delete, replace))), F.array(*map(F.lit, (none, *[some] * most)))
+
+
+def weighted_error(predicted: Column, true: Column, weights: Column) -> Column:
+    """The share of the weight of all labels that stands on wrong ones; ignored labels weigh nothing."""
+    both = F.filter(F.zip_with(predicted, true, lambda p, t: F.struct(p.cast("int").alias("p"), t.cast("int").alias("t"))), lambda x: x["t"] >= 0)
+    weight = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(weights, x["t"]))
+    return let(both, lambda b: F.try_divide(weight(F.filter(b, lambda x: x["p"] != x["t"])), weight(b)))
+
+
 def capped_length(ops: Column, inserts: Column, most: int = 6, ratio: float = 0.1) -> Column:
     """Target length with the cap on each position's insertions, not on their sum; ignored labels count nothing."""
     cap = insert_cap(F.size(ops), most, ratio)
@@ -89,6 +119,11 @@ def accepted(p: Column, least: float = 0.5) -> Column:
     return p > least
 
 
+def accepted_edits(edits: Column, p: Column, least: float = 0.5) -> Column:
+    """The edits whose own probability is accepted; without one there is none."""
+    return F.transform(F.filter(F.zip_with(edits, p, lambda e, x: F.struct(e.alias("e"), x.alias("p"))), lambda z: z["p"] > least), lambda z: z["e"])
+
+
 def extracted_edits(df: DataFrame, key: str, source: str, ops: str, inserts: str) -> DataFrame:
     """(key, position, type, source_char, count): an edit for each op that changes something and for each insertion."""
     names = F.create_map(F.lit(1), F.lit("DELETE"), F.lit(2), F.lit("REPLACE"))

@@ -7,7 +7,7 @@ import struct
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, let
@@ -127,3 +127,16 @@ def shuffled(df: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataFra
 def shard_of(key: Column, shards: int, seed: int = 42) -> Column:
     """The rank that a row belongs to."""
     return (draw(seed, "shard", key) % shards).cast("int")
+
+
+def batches(df: DataFrame, key: str, size: int, seed: int = 42, epoch: int = 0, drop_last: bool = False) -> DataFrame:
+    """`df` with `batch` and `slot`: batches of `size` rows by draws, in groups of some 64 batches by the same
+    draws, so that no order of all rows is made. `drop_last` leaves incomplete batches out."""
+    n = max(1, df.count() // (64 * size))  # groups of some 64 batches
+    h = draw(seed, epoch, "batch", F.col(key))
+    w = Window.partitionBy("_g").orderBy("_h", key)
+    out = df.withColumn("_h", h).withColumn("_g", F.col("_h") % n).withColumn("_r", F.row_number().over(w) - 1)
+    out = out.withColumn("batch", F.concat_ws("-", "_g", F.floor(F.col("_r") / size))).withColumn("slot", F.col("_r") % size)
+    if drop_last:
+        out = out.withColumn("_n", F.count("*").over(Window.partitionBy("batch"))).where(F.col("_n") == size).drop("_n")
+    return out.drop("_h", "_g", "_r")

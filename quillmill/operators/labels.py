@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .align import DELETE, INSERT, REPLACE
+from .align import DELETE, INSERT, REPLACE, align
 
 MASK, UNK = "[MASK]", "[UNK]"
 INT = "array<int>"
@@ -104,3 +104,9 @@ def labels_valid(source: Column, ops: Column, inserts: Column, most: int = 3) ->
 
 def template_valid(tokens: Column, gold: Column, masks: Column) -> Column:
     return (F.size(gold) == F.size(masks)) & F.forall(masks, lambda i: F.get(tokens, i) == MASK)
+
+
+def processed(df: DataFrame, source: str, target: str, key: str, mode: str = "minimal", most: int = 3) -> DataFrame:
+    """Pairs to labels and templates in one chain; `sample_id` comes from the key, never from the order of rows."""
+    done = gold_template(planner_labels(align(df, source, target, mode), source, most=most), source)
+    return done.withColumn("sample_id", F.concat(F.lit("sample_"), F.col(key).cast("string")))

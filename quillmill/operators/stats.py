@@ -36,3 +36,9 @@ def f_score(predicted: DataFrame, true: DataFrame, key: list[str], beta: float =
     precision, recall = F.try_divide("n_right", "n_predicted"), F.try_divide("n_right", "n_true")
     b = beta * beta
     return n.select("*", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(F.try_divide((1 + b) * precision * recall, b * precision + recall), 6).alias("f_half"))
+
+
+def mean_losses(batches: DataFrame, key: list[str], losses: list[str]) -> DataFrame:
+    """The mean over batches of each loss by `key`; 0 where no batch has a positive one."""
+    mean = lambda c: F.when(F.sum(c) > 0, F.sum(c) / F.count("*")).otherwise(0.0)
+    return batches.groupBy(*key).agg(*[mean(c).alias(c) for c in losses])

@@ -31,6 +31,7 @@ class LabelSettings:
 class FeatureSettings:
     width: int = 128
     full_mask: bool = True
+    auxiliary: bool = True
     auxiliary_share: float = 0.15
 
 
@@ -40,11 +41,23 @@ class DecisionSettings:
     insert_at: float = 0.5
     most_inserts: int = 6
     insert_ratio: float = 0.1
+    refine: bool = False
     refine_rounds: int = 2
     refine_ratio: float = 0.15
+    verify: bool = False
     accept_at: float = 0.5
 
 
+@dataclass(frozen=True)
+class PromptSettings:
+    """What a plugged model is told about its soft prompt; the rules here don't depend on it."""
+
+    prompt: bool = True
+    lstm: bool = True
+    shared: bool = False
+    second: bool = True
+
+
 @dataclass(frozen=True)
 class SplitSettings:
     train: float = 0.8
@@ -61,6 +74,7 @@ class Settings:
     features: FeatureSettings = field(default_factory=FeatureSettings)
     decisions: DecisionSettings = field(default_factory=DecisionSettings)
     split: SplitSettings = field(default_factory=SplitSettings)
+    prompt: PromptSettings = field(default_factory=PromptSettings)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1)
@@ -68,7 +82,7 @@ class Settings:
     @classmethod
     def from_json(cls, text: str) -> Settings:
         given = json.loads(text)
-        parts = {"text": TextSettings, "errors": ErrorSettings, "labels": LabelSettings, "features": FeatureSettings, "decisions": DecisionSettings, "split": SplitSettings}
+        parts = {"text": TextSettings, "errors": ErrorSettings, "labels": LabelSettings, "features": FeatureSettings, "decisions": DecisionSettings, "split": SplitSettings, "prompt": PromptSettings}
         return cls(**{k: parts[k](**v) for k, v in given.items()})
 
     def with_(self, **changes: dict) -> Settings:
@@ -83,5 +97,19 @@ PRESETS = {
     "long_text": Settings(text=TextSettings(limit=512), features=FeatureSettings(width=512)),
     "no_insert": Settings(labels=LabelSettings(enable_insert=False)),
     "no_delete": Settings(labels=LabelSettings(enable_delete=False)),
+    "no_gap": Settings(labels=LabelSettings(enable_insert=False, enable_delete=False)),
+    "no_aux_mlm": Settings(features=FeatureSettings(auxiliary=False)),
+    "with_refinement": Settings(decisions=DecisionSettings(refine=True, refine_rounds=2)),
+    "with_verifier": Settings(decisions=DecisionSettings(verify=True)),
+    "no_f2": Settings(prompt=PromptSettings(second=False)),
+    "no_ptuning": Settings(prompt=PromptSettings(prompt=False)),
+    "ptuning_no_lstm": Settings(prompt=PromptSettings(lstm=False)),
+    "ptuning_shared": Settings(prompt=PromptSettings(shared=True)),
     "cautious": Settings(decisions=DecisionSettings(delete_at=0.8, insert_at=0.8, most_inserts=3)),
 }
+
+
+def preset(name: str = "default") -> Settings:
+    if name not in PRESETS:
+        raise ValueError(f"unknown preset {name}; known: {', '.join(PRESETS)}")
+    return PRESETS[name]

@@ -31,14 +31,22 @@ class Corrector:
         ops = F.transform("p_op", lambda x: decide.op_decision(x, d.delete_at))
         inserts = F.transform("p_insert", lambda x: decide.insert_decision(x, d.insert_at, self.settings.labels.enable_insert))
         p = p.withColumn("ops", ops).withColumn("wanted", inserts).withColumn("inserts", decide.budgeted(F.col("ops"), F.col("wanted"), d.most_inserts, d.insert_ratio))
-        return p.withColumn("template", decide.sparse_template(F.col("ids"), F.col("ops"), F.col("inserts"))).select(key, "ids", "ops", "inserts", "template")
+        template = decide.sparse_template(F.col("ids"), F.col("ops"), F.col("inserts"))
+        if self.settings.features.full_mask:
+            width = self.settings.features.width
+            p = p.withColumn("ids", F.slice("ids", 1, width - 3))
+            template = decide.full_template(F.col("ids"), decide.capped_length(F.col("ops"), F.col("wanted"), d.most_inserts, d.insert_ratio), width)
+        return p.withColumn("template", template).select(key, "ids", "ops", "inserts", "template")
 
     def correct(self, rows: DataFrame, key: str = "id") -> DataFrame:
         """(key, ids, prediction, confidence, is_changed, edits). Confidence is the mean over the final ids."""
         d = self.settings.decisions
         t = self.templates(rows, key)
         now = t.join(self.fill(t.select(key, F.col("template").alias("ids"))), key)
-        for _ in range(d.refine_rounds):
+        if self.settings.features.full_mask:  # the target stands behind the source's [SEP]; nothing is refined
+            n = F.size("ids") + 2
+            now = now.withColumn("filled", F.slice("filled", n + 1, F.greatest(F.size("filled") - n, F.lit(0))))
+        for _ in range(0 if self.settings.features.full_mask or not d.refine else d.refine_rounds):
             again = now.select(key, decide.remasked(F.col("filled"), decide.least_sure(F.col("filled"), F.col("confidence"), d.refine_ratio)).alias("ids"))
             now = now.drop("filled", "confidence").join(self.fill(again), key)
         own = F.filter("filled", lambda x: ~x.isin(0, 101, 102, MASK))

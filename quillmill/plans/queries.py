@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, normalize, protect, segment
 from ..functions.draws import draw
 from ..operators import align, confusion, corrupt, decide, features, labels, stats
-from ..runtime import checkpoint_dir, spread, table
+from ..runtime import checkpoint_dir, checkpointed, spread, table
 from ..sources import readers
 from ..streaming import stream
-from . import pipeline
+from . import files, golden, pipeline
+from .config import DecisionSettings, FeatureSettings, Settings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,9 +94,14 @@ def normalize_all(spark, d):
     return _docs(spark, d).select("doc_id", normalize.normalize(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, count(*)::BIGINT AS n FROM documents WHERE length(text) BETWEEN 5 AND 118 GROUP BY doc_id")
+@query("SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 5 AND 118")
 def filter_length(spark, d):
-    return readers.fit_for_training(_docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return readers.fit_for_training(_docs(spark, d))
+
+
+@query("SELECT row_id, source_text AS source, target_text AS target FROM model_inputs WHERE length(source_text) BETWEEN 1 AND 38 AND length(target_text) BETWEEN 1 AND 38")
+def pairs_within_limits(spark, d):
+    return readers.within_limits(_pairs(spark, d).withColumnsRenamed({"source_text": "source", "target_text": "target"}), 40)
 
 
 # ---- segmentation
@@ -177,10 +183,10 @@ def split_parallel(spark, d):
 # ---- protected spans
 
 
-def _sql_spans(family: str, table_: str = "documents", key: str = "doc_id") -> str:
+def _sql_spans(family: str, table_: str = "documents", key: str = "doc_id", patterns: list[str] | None = None) -> str:
     one = lambda p: f"""SELECT {key}, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start, m[i] AS text
 FROM (SELECT {key}, m, s, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {key}, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS s FROM {table_}))"""
-    return " UNION ALL ".join(one(p) for p in protect.PATTERNS[family])
+    return " UNION ALL ".join(one(p) for p in patterns or protect.PATTERNS[family])
 
 
 def _spans(spark, d, family):
@@ -208,22 +214,48 @@ def spans_clause(spark, d):
     return rows.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "text")
 
 
-@query(_span_query("doc_number"))
+def _planted(text: Column) -> Column:
+    """Texts with a document number, a set phrase and a law's name at places by the row's id."""
+    k = (F.col("seg_id") % 9).cast("int")
+    n = (F.col("seg_id") % 90 + 1).cast("string")
+    return F.concat(F.substring(text, F.lit(1), k), F.lit("，国办发〔2024〕"), n, F.lit("号，按照《条例》规定，现将方案印发如下：见《劳动法》和城市管理条例。"), F.substring(text, k + 1, F.length(text)))
+
+
+_PLANTED = "(SELECT seg_id, substr(text, 1, (seg_id % 9)::INTEGER) || '，国办发〔2024〕' || (seg_id % 90 + 1) || '号，按照《条例》规定，现将方案印发如下：见《劳动法》和城市管理条例。' || substr(text, (seg_id % 9)::INTEGER + 1) AS text FROM sentences)"
+
+
+def _planted_spans(spark, d, family):
+    rows = protect.detect(_sents(spark, d).withColumn("text", _planted(F.col("text"))), "seg_id", "text", [family])
+    return rows.select("seg_id", F.col("start").cast("long"), F.col("end").cast("long"), "text")
+
+
+def _planted_query(family: str) -> str:
+    return f"SELECT seg_id, start::BIGINT AS start, (start + length(text))::BIGINT AS \"end\", text FROM ({_sql_spans(family, _PLANTED, 'seg_id')})"
+
+
+@query(_planted_query("doc_number"))
 def spans_doc_number(spark, d):
-    return _spans(spark, d, "doc_number")
+    return _planted_spans(spark, d, "doc_number")
 
 
-@query(_span_query("fixed_phrase"))
+@query(_planted_query("fixed_phrase"))
 def spans_fixed_phrase(spark, d):
-    return _spans(spark, d, "fixed_phrase")
+    return _planted_spans(spark, d, "fixed_phrase")
 
 
-@query()
+# A name without marks ends where its run of ideographs does, and not in front of a closing title mark: runs are taken whole.
+_RUNS = _sql_spans("", _PLANTED, "seg_id", [r"[一-龥]+》?"])
+
+
+@query(
+    f"""SELECT seg_id, start::BIGINT AS start, (start + length(text))::BIGINT AS "end", text FROM (
+{_sql_spans('', _PLANTED, 'seg_id', protect.PATTERNS['law_name'][:1])} UNION ALL SELECT * FROM ({_RUNS}) WHERE regexp_full_match(text, '[一-龥]{{2,}}(?:法|条例|规定|办法)'))"""
+)
 def spans_law_name(spark, d):
-    return _spans(spark, d, "law_name")
+    return _planted_spans(spark, d, "law_name")
 
 
-@query()
+@query(f"SELECT seg_id, start::BIGINT AS start, (start + length(text))::BIGINT AS \"end\", text FROM ({_sql_spans('', 'sentences', 'seg_id', [protect.ORGANIZATION])}) WHERE length(text) >= 3")
 def spans_organization(spark, d):
     return _spans(spark, d, "organization")
 
@@ -239,38 +271,57 @@ def spans_custom_words(spark, d):
     return rows.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"))
 
 
+# Families with SQL, and their spans merged: of a run of overlapping ones the first's type, and the largest confidence of those
+# that reach further than all before.
+_FAMILIES = ["doc_number", "date", "amount", "clause", "fixed_phrase", "organization"]
+_TYPED = " UNION ALL ".join(
+    f"SELECT seg_id, start, start + length(text) AS e, '{k}' AS type, {0.8 if k == 'organization' else 1.0}::DOUBLE AS confidence FROM ({_sql_spans(k, 'sentences', 'seg_id', [protect.ORGANIZATION] if k == 'organization' else None)}) WHERE length(text) >= {3 if k == 'organization' else 1}"
+    for k in _FAMILIES
+)
+_ORDER = "PARTITION BY seg_id ORDER BY start, e DESC, confidence DESC, type"
+_MERGED = f"""s AS ({_TYPED}),
+r AS (SELECT *, max(e) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER ({_ORDER}) AS no FROM s),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY seg_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS grp FROM r),
+merged AS (SELECT seg_id, min(start) AS start, max(e) AS e, arg_min(type, no) AS type, max(confidence) FILTER (reach IS NULL OR e > reach) AS confidence FROM g GROUP BY seg_id, grp)"""
+
+
 @query(
-    f"""WITH s AS (SELECT seg_id, start, start + length(text) AS e FROM ({_sql_spans('date', 'sentences', 'seg_id')} UNION ALL {_sql_spans('amount', 'sentences', 'seg_id')})),
-r AS (SELECT *, max(e) OVER (PARTITION BY seg_id ORDER BY start, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
-g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY seg_id ORDER BY start, e DESC ROWS UNBOUNDED PRECEDING) AS grp FROM r)
-SELECT seg_id, min(start)::BIGINT AS start, max(e)::BIGINT AS "end" FROM g GROUP BY seg_id, grp"""
+    f"""WITH {{spans}} SELECT seg_id, start::BIGINT AS start, e::BIGINT AS "end", type, confidence FROM merged""".replace("{spans}", _MERGED)
 )
 def merge_spans(spark, d):
-    rows = protect.merge_spans(protect.detect(_sents(spark, d), "seg_id", "text", "minimal"), "seg_id")
-    return rows.select("seg_id", F.col("start").cast("long"), F.col("end").cast("long"))
+    rows = protect.merge_spans(protect.detect(_sents(spark, d), "seg_id", "text", _FAMILIES), "seg_id")
+    return rows.select("seg_id", F.col("start").cast("long"), F.col("end").cast("long"), "type", "confidence")
 
 
-_FIXED = r"[。，、；：？！\"【】《》（）—…·「」『』〈〉〔〕\p{Z}\s\x{0B}\x{1C}-\x{1F}]"
+_FIXED = r"(?s)[\x{00}。，、；：？！\"【】《》（）—…·「」『』〈〉〔〕\p{Z}\s\x{0B}\x{1C}-\x{1F}]"
 
 
-@query(f"SELECT seg_id, length(regexp_replace(text, '{_FIXED}', '', 'g'))::BIGINT AS n_free FROM sentences WHERE text IS NOT NULL")
+_FREE = f"list_filter(range(0, length(text)), lambda i: NOT regexp_full_match(substr(text, i + 1, 1), '{_FIXED}'))"
+
+
+@query(f"SELECT seg_id, array_to_string({_FREE}, ',') AS free FROM sentences WHERE text IS NOT NULL")
 def editable_positions(spark, d):
-    return _sents(spark, d).where("text is not null").select("seg_id", F.size(protect.editable_positions(F.col("text"))).cast("long").alias("n_free"))
+    return _sents(spark, d).where("text is not null").select("seg_id", _joined(protect.editable_positions(F.col("text"))).alias("free"))
 
 
-@query()
+@query(f"WITH {_MERGED}, n AS (SELECT seg_id, sum(e - start) AS n FROM merged GROUP BY seg_id) SELECT s.seg_id, round(coalesce(n, 0) / length(text), 9)::DOUBLE AS share FROM sentences s LEFT JOIN n ON s.seg_id = n.seg_id WHERE length(text) > 0")
 def protected_coverage(spark, d):
     """Share of each row's code points that stand in a protected span."""
     rows = _sents(spark, d)
-    merged = protect.merge_spans(protect.detect(rows, "seg_id", "text", "default"), "seg_id").groupBy("seg_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
-    return rows.where("length(text) > 0").join(merged, "seg_id", "left").select("seg_id", (F.coalesce("n", F.lit(0)) / F.length("text")).alias("share"))
+    merged = protect.merge_spans(protect.detect(rows, "seg_id", "text", _FAMILIES), "seg_id").groupBy("seg_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    return rows.where("length(text) > 0").join(merged, "seg_id", "left").select("seg_id", F.round(F.coalesce("n", F.lit(0)) / F.length("text"), 9).alias("share"))
 
 
-@query()
+_TAGS = f"""WITH {_MERGED}, o AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY seg_id ORDER BY start) AS before FROM merged)
+SELECT s.seg_id, string_agg(substr(text, (before + 1)::INTEGER, (start - before)::INTEGER) || '<' || type || '>' || substr(text, (start + 1)::INTEGER, (e - start)::INTEGER) || '</' || type || '>', '' ORDER BY start) || substr(any_value(text), (max(e) + 1)::INTEGER) AS tagged
+FROM sentences s JOIN o ON s.seg_id = o.seg_id GROUP BY s.seg_id"""
+
+
+@query(_TAGS)
 def tagged_spans(spark, d):
     """Texts with their protected spans in tags."""
     rows = _sents(spark, d).where("text is not null")
-    merged = protect.merge_spans(protect.detect(rows, "seg_id", "text", "default"), "seg_id").groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
+    merged = protect.merge_spans(protect.detect(rows, "seg_id", "text", _FAMILIES), "seg_id").groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
     return rows.join(merged, "seg_id").select("seg_id", protect.tagged(F.col("text"), F.col("spans")).alias("tagged"))
 
 
@@ -281,7 +332,7 @@ def _conf(spark, d):
     return confusion.pairs_from_entries(table(spark, d, "confusion_entries"))
 
 
-_CPAIRS = """cp AS (SELECT char, c AS confusion, confusion_type AS type, entry_id * 1000 + i - 1 AS ord
+_CPAIRS = """cp AS (SELECT char, c AS confusion, confusion_type AS type, entry_id * 1048576 + i - 1 AS ord
 FROM (SELECT entry_id, char, confusion_type, confusions[i] AS c, i FROM (SELECT *, unnest(range(1, len(confusions) + 1)) AS i FROM confusion_entries WHERE char IS NOT NULL)) WHERE c IS NOT NULL)"""
 _LOOK = "SELECT char, {0} AS confusions FROM (SELECT char, list(confusion ORDER BY ord) AS l FROM (SELECT char, confusion, min(ord) AS ord FROM cp GROUP BY char, confusion) GROUP BY char)"
 
@@ -362,30 +413,98 @@ def corrupt_one(spark, d):
     return rows.select("seg_id", p.cast("long").alias("position"), k.alias("type"), made.alias("corrupted"))
 
 
-@query()
+def _sql_corrupt(rows: str, key: str, most: int, wanted: str, kind: str | None = None, free: str = _FREE) -> str:
+    """CTEs of rows (key, text, ...) to `made` (key, text, corrupted, edits): places drawn one after the other from what is left,
+    edits by draws and confusions. `kind` fixes the kind of the one edit."""
+    u = lambda *slot: _sql_draw("'42'", "'0'", key, *slot)
+    steps = [f"c0 AS (SELECT *, {wanted} AS wanted, {free} AS r0 FROM {rows})"]
+    for n in range(most):
+        steps.append(f"q{n} AS (SELECT *, CASE WHEN wanted > {n} AND len(r{n}) > 0 THEN r{n}[({u(chr(39) + 'at' + chr(39), str(n))} % len(r{n}) + 1)::INTEGER] END AS p{n} FROM c{n})")
+        steps.append(f"c{n + 1} AS (SELECT *, CASE WHEN p{n} IS NULL THEN r{n} ELSE list_filter(r{n}, lambda x: x <> p{n}) END AS r{n + 1} FROM q{n})")
+    places = ", ".join(f"p{n}" for n in range(most))
+    kind = kind or _sql_case(u("'kind'", "p"), [0.2, 0.3, 0.5], ["S", "M", "R"])
+    return f"""{_CPAIRS}, conf AS (SELECT char, list(confusion ORDER BY ord) AS l FROM (SELECT char, confusion, min(ord) AS ord FROM cp GROUP BY char, confusion) GROUP BY char),
+{", ".join(steps)},
+chosen AS (SELECT * FROM (SELECT *, unnest([{places}]) AS p FROM c{most}) WHERE p IS NOT NULL),
+kinds AS (SELECT chosen.*, substr(text, (p + 1)::INTEGER, 1) AS original, {kind} AS k, l FROM chosen LEFT JOIN conf ON conf.char = substr(text, (p + 1)::INTEGER, 1)),
+typed AS (SELECT *, CASE WHEN k = 'R' AND l IS NULL THEN 'M' ELSE k END AS type FROM kinds),
+edited AS (SELECT *, CASE type WHEN 'S' THEN '' WHEN 'M' THEN repeat(original, ({u("'k'", "p")} % 3 + 1)::INTEGER) ELSE l[({u("'pick'", "p")} % len(l) + 1)::INTEGER] END AS error FROM typed),
+chars AS (SELECT {key}, text, unnest(range(0, length(text))) AS i FROM {rows} WHERE length(text) > 0),
+bodies AS (SELECT chars.{key}, string_agg(CASE WHEN e.p IS NULL THEN substr(text, (i + 1)::INTEGER, 1) WHEN e.type = 'S' THEN '' WHEN e.type = 'M' THEN e.original || e.error ELSE e.error END, '' ORDER BY i) AS corrupted
+           FROM chars LEFT JOIN (SELECT {key} AS ek, p, type, original, error FROM edited) e ON chars.{key} = e.ek AND chars.i = e.p GROUP BY chars.{key}),
+lists AS (SELECT {key}, list({{'position': p::INTEGER, 'type': type, 'original': original, 'error': error}} ORDER BY p) AS edits FROM edited GROUP BY {key}),
+made AS (SELECT r.*, coalesce(bodies.corrupted, r.text) AS corrupted, coalesce(lists.edits, []) AS edits FROM {rows} r LEFT JOIN bodies ON r.{key} = bodies.{key} LEFT JOIN lists ON r.{key} = lists.{key})"""
+
+
+_GATE = f"CASE WHEN length(text) >= 5 AND {_sql_draw(chr(39) + '42' + chr(39), chr(39) + '0' + chr(39), '{key}', chr(39) + 'gate' + chr(39))} < {int(0.7 * draws.SPAN)} THEN {{n}} ELSE 0 END"
+_COUNT = _sql_case(_sql_draw("'42'", "'0'", "seg_id", "'n'"), _POISSON, [1, 2, 3, 4])
+_SHOWN = "array_to_string(list_transform(edits, lambda e: e.position || ':' || e.type || ':' || e.original || '>' || e.error), '|')"
+
+
+def _shown(edits: Column) -> Column:
+    return F.array_join(F.transform(edits, lambda e: F.concat(e["position"].cast("string"), F.lit(":"), e["type"], F.lit(":"), e["original"], F.lit(">"), e["error"])), "|")
+
+
+@query(f"WITH {_sql_corrupt('sentences', 'seg_id', 4, _GATE.format(key='seg_id', n=_COUNT))} SELECT seg_id, corrupted, len(edits) > 0 AS is_corrupted, len(edits)::BIGINT AS num_edits, {_SHOWN} AS edits FROM made")
 def corrupt_multi(spark, d):
     rows = corrupt.corrupt(_sents(spark, d), "seg_id", "text", confusion.lookup(_conf(spark, d)))
-    return rows.select("seg_id", "corrupted", "is_corrupted", "num_edits", F.to_json("edits").alias("edits"))
+    return rows.select("seg_id", "corrupted", "is_corrupted", F.col("num_edits").cast("long").alias("num_edits"), _shown(F.col("edits")).alias("edits"))
 
 
-@query()
+_OUTSIDE = f"list_filter({_FREE}, lambda i: NOT list_bool_or(list_append(list_transform(coalesce(spans, []), lambda z: i >= z.a AND i < z.b), false)))"
+
+
+@query(
+    f"""WITH {_MERGED}, sp AS (SELECT seg_id, list({{'a': start, 'b': e}}) AS spans FROM merged GROUP BY seg_id), base AS (SELECT s.seg_id, s.text, sp.spans FROM sentences s LEFT JOIN sp ON s.seg_id = sp.seg_id),
+{_sql_corrupt('base', 'seg_id', 4, _GATE.format(key='seg_id', n=_COUNT), free=_OUTSIDE)} SELECT seg_id, corrupted, len(edits)::BIGINT AS num_edits FROM made"""
+)
 def corrupt_protected(spark, d):
-    """Errors outside protected spans only, more of them in longer texts."""
+    """Errors outside protected spans only."""
     rows = _sents(spark, d)
-    spans = protect.merge_spans(protect.detect(rows, "seg_id", "text", "default"), "seg_id").groupBy("seg_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = protect.merge_spans(protect.detect(rows, "seg_id", "text", _FAMILIES), "seg_id").groupBy("seg_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     with_spans = rows.join(spans, "seg_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
-    out = corrupt.corrupt(with_spans, "seg_id", "text", confusion.lookup(_conf(spark, d)), corrupt.ErrorSettings(by_length=True), spans="spans")
-    return out.select("seg_id", "corrupted", "num_edits")
+    out = corrupt.corrupt(with_spans, "seg_id", "text", confusion.lookup(_conf(spark, d)), spans="spans")
+    return out.select("seg_id", "corrupted", F.col("num_edits").cast("long").alias("num_edits"))
 
 
-@query()
-def static_samples(spark, d):
-    """One positive and two negatives per text, of two kinds drawn without replacement, each with one edit and labels straight
-    from it."""
+_ORDERED = "list_transform(list_sort([" + ", ".join(f"{{'r': -ln(({_sql_draw(chr(39) + '42' + chr(39), chr(39) + '0' + chr(39), 'seg_id', chr(39) + 'order' + chr(39), chr(39) + k + chr(39))} + 0.5) / {draws.SPAN}) / {w}, 'k': '{k}'}}" for k, w in zip("SMR", (0.2, 0.3, 0.5))) + "]), lambda x: x.k)"
+_KINDS = f"base AS (SELECT seg_id * 3 + v AS id, text, CASE WHEN v > 0 THEN {_ORDERED}[v] END AS kind, seg_id, heads FROM sentences, (SELECT unnest([0, 1, 2]) AS v), (SELECT list(DISTINCT char) AS heads FROM (SELECT char, unnest(confusions) AS c FROM confusion_entries WHERE char IS NOT NULL) WHERE c IS NOT NULL) WHERE length(text) BETWEEN 5 AND 118)"
+_POOL = f"coalesce(CASE WHEN kind = 'R' THEN nullif(list_filter({_FREE}, lambda i: list_contains(heads, substr(text, i + 1, 1))), []) END, {_FREE})"
+
+
+def _typed(spark, d) -> DataFrame:
     rows = _sents(spark, d).where("length(text) between 5 and 118").select(F.col("seg_id").alias("id"), "text", F.explode(F.array(*map(F.lit, range(3)))).alias("variant"))
     rows = rows.withColumn("id", F.col("id") * 3 + F.col("variant"))
     negative = rows.where("variant > 0").withColumn("kind", F.get(corrupt.kinds_in_order(F.floor(F.col("id") / 3)), F.col("variant") - 1))
-    made = corrupt.corrupt_typed(negative, "id", "text", "kind", confusion.lookup(_conf(spark, d))).where("is_corrupted").withColumn("e", F.get("edits", F.lit(0)))
+    return corrupt.corrupt_typed(negative, "id", "text", "kind", confusion.lookup(_conf(spark, d))), rows
+
+
+@query(f"WITH {_KINDS}, {_sql_corrupt('base', 'id', 1, 'CASE WHEN kind IS NULL THEN 0 ELSE 1 END', 'kind', _POOL)} SELECT id, corrupted, {_SHOWN} AS edits FROM made WHERE kind IS NOT NULL")
+def corrupt_with_kind(spark, d):
+    """Two edits of distinct kinds, each in a copy of the text; a replaced character is one with confusions where there is any."""
+    return _typed(spark, d)[0].select("id", "corrupted", _shown(F.col("edits")).alias("edits"))
+
+
+@query(f"SELECT seg_id, array_to_string({_ORDERED}, '') AS kinds FROM sentences")
+def kinds_in_order(spark, d):
+    """All kinds, drawn by weight without replacement."""
+    return _sents(spark, d).select("seg_id", F.array_join(corrupt.kinds_in_order(F.col("seg_id")), "").alias("kinds"))
+
+
+_SPLIT = _sql_case(_sql_draw("'42'", "seg_id", "'split'"), [0.8, 0.1, 0.1], ["train", "dev", "test"])
+
+
+@query(
+    f"""WITH {_KINDS}, {_sql_corrupt('base', 'id', 1, 'CASE WHEN kind IS NULL THEN 0 ELSE 1 END', 'kind', _POOL)},
+{{direct}} SELECT b.id, coalesce(x.s, b.text) AS corrupted, b.text, coalesce(x.ops, array_to_string(list_transform(range(0, length(b.text)), lambda i: 0), ',')) AS ops,
+coalesce(x.inserts, array_to_string(list_transform(range(0, length(b.text)), lambda i: 0), ',')) AS inserts, coalesce(x.template, b.text) AS template, coalesce(x.gold, '') AS gold, {_SPLIT} AS split
+FROM base b LEFT JOIN labelled x ON b.id = x.row_id WHERE b.kind IS NULL OR x.row_id IS NOT NULL"""
+)
+def static_samples(spark, d):
+    """One positive and two negatives per text, of two kinds drawn without replacement, each with one edit and labels straight
+    from it."""
+    made, rows = _typed(spark, d)
+    made = made.where("is_corrupted").withColumn("e", F.get("edits", F.lit(0)))
     both = made.select("id", "text", "corrupted", "e").unionByName(rows.where("variant = 0").select("id", "text", F.col("text").alias("corrupted"), F.lit(None).cast(made.schema["e"].dataType).alias("e")))
     out = labels.direct_labels(both, "corrupted", "e").withColumn("split", corrupt.split_of(draw(42, F.floor(F.col("id") / 3), "split")))
     return out.select("id", "corrupted", "text", _joined(F.col("op_labels")).alias("ops"), _joined(F.col("insert_labels")).alias("inserts"), F.array_join("template_tokens", "").alias("template"), F.array_join("gold_tokens", "").alias("gold"), "split")
@@ -485,6 +604,10 @@ SELECT row_id, array_to_string(ops, ',') AS ops, array_to_string(ins, ',') AS in
 FROM l"""
 
 
+_CTE, _ROWS = _DIRECT.rsplit("\nSELECT row_id, array_to_string(ops", 1)
+ORACLES["static_samples"] = ORACLES["static_samples"].replace("{direct}", _CTE.replace("SELECT row_id, corrupted AS s", "SELECT id AS row_id, corrupted AS s").replace("FROM corruptions", "FROM made") + ",\nlabelled AS (SELECT s, row_id, array_to_string(ops" + _ROWS + "),".removesuffix(","))
+
+
 @query("WITH " + _DIRECT)
 def direct_labels(spark, d):
     """Labels of the rows with exactly one edit, straight from it."""
@@ -575,9 +698,20 @@ def shard_sizes(spark, d):
     return _samples(spark, d).select(features.shard_of(F.col("row_id"), 8).cast("long").alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
 
 
-@query("SELECT row_id FROM tokenized_samples")
+@query(f"SELECT row_id, lag(row_id) OVER (ORDER BY h, row_id) AS before FROM (SELECT row_id, {_sql_draw(chr(39) + '42' + chr(39), chr(39) + '1' + chr(39), 'row_id')} AS h FROM tokenized_samples)")
 def shuffled_epoch(spark, d):
-    return features.shuffled(_samples(spark, d), "row_id", epoch=1)
+    """Each row with the one that stands before it in the epoch's order, across partitions: neighbours within each, and the
+    last row of the partition before for the first."""
+    rows = features.shuffled(_samples(spark, d), "row_id", epoch=1).withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
+    kept = checkpointed(rows)
+    w = Window.partitionBy("p").orderBy("i")
+    last = kept.groupBy("p").agg(F.max_by("row_id", "i").alias("row_id")).collect()  # a row a partition
+    ends = {r.p: r.row_id for r in last}
+    known = sorted(ends)
+    first = {b: ends[a] for a, b in zip(known, known[1:])}
+    before = F.lag("row_id").over(w)
+    other = F.create_map(*[F.lit(x).cast("long") for kv in first.items() for x in kv])[F.col("p").cast("long")] if first else F.lit(None).cast("long")
+    return kept.select("row_id", F.coalesce(before, other).alias("before"))
 
 
 # ---- decision rules
@@ -678,7 +812,8 @@ def correct_with_plug(spark, d):
     def fill(r):
         return r.select("id", F.transform("ids", lambda x: F.when(x == features.MASK, 104).otherwise(x)).alias("filled"), F.transform("ids", lambda x: draw(F.col("id"), "c", x) / draws.SPAN).alias("confidence"))
 
-    out = pipeline.Corrector(plan, fill).correct(rows)
+    sparse = Settings(features=FeatureSettings(full_mask=False), decisions=DecisionSettings(refine=True))
+    out = pipeline.Corrector(plan, fill, sparse).correct(rows)
     return out.select("id", _joined(F.col("prediction")).alias("prediction"), F.round("confidence", 6).alias("confidence"), "is_changed", F.size("edits").alias("n_edits"))
 
 
@@ -733,20 +868,23 @@ def changed_ratio(spark, d):
 
 
 @query(
-    """WITH g AS (SELECT row_id, unnest(edits) AS e FROM corruptions), a AS (SELECT DISTINCT row_id, e.position AS p, e.type AS t FROM g), b AS (SELECT * FROM a WHERE t <> 'S')
-SELECT (SELECT count(*) FROM b)::BIGINT AS n_predicted, (SELECT count(*) FROM a)::BIGINT AS n_true, (SELECT count(*) FROM b)::BIGINT AS n_right, 1.0::DOUBLE AS "precision", round((SELECT count(*) FROM b) / (SELECT count(*) FROM a), 6)::DOUBLE AS recall,
-round(1.25 * (SELECT count(*) FROM b) / (SELECT count(*) FROM a) / (0.25 + (SELECT count(*) FROM b) / (SELECT count(*) FROM a)), 6)::DOUBLE AS f_half"""
+    f"""WITH g AS (SELECT row_id, unnest(edits) AS e FROM corruptions), a AS (SELECT DISTINCT row_id, e.position AS p, e.type AS t FROM g),
+b AS (SELECT DISTINCT row_id, CASE WHEN h % 5 = 1 THEN p + 1 ELSE p END AS p, t FROM (SELECT *, {_sql_draw('row_id', 'p', "'f'")} AS h FROM a) WHERE h % 5 <> 0),
+n AS (SELECT (SELECT count(*) FROM b) AS x, (SELECT count(*) FROM a) AS y, (SELECT count(*) FROM a JOIN b USING (row_id, p, t)) AS z)
+SELECT x::BIGINT AS n_predicted, y::BIGINT AS n_true, z::BIGINT AS n_right, round(z / x, 6)::DOUBLE AS "precision", round(z / y, 6)::DOUBLE AS recall, round(1.25 * (z / x) * (z / y) / (0.25 * (z / x) + z / y), 6)::DOUBLE AS f_half FROM n"""
 )
 def edit_f_score(spark, d):
-    """Precision, recall and F0.5 of predicted edits; here of those that a model blind to deletions would find."""
-    true = _corruptions(spark, d, "edits").select("row_id", F.explode("edits").alias("e")).select("row_id", F.col("e.position").alias("position"), F.col("e.type").alias("type"))
-    return stats.f_score(true.where("type <> 'S'"), true, ["row_id", "position", "type"])
+    """Precision, recall and F0.5 of predicted edits; here every fifth true one is missing and every fifth stands a place off."""
+    true = _corruptions(spark, d, "edits").select("row_id", F.explode("edits").alias("e")).select("row_id", F.col("e.position").alias("position"), F.col("e.type").alias("type")).distinct()
+    h = draw(F.col("row_id"), F.col("position"), "f")
+    guessed = true.where(h % 5 != 0).withColumn("position", F.when(h % 5 == 1, F.col("position") + 1).otherwise(F.col("position")))
+    return stats.f_score(guessed, true, ["row_id", "position", "type"])
 
 
 # ---- readers and streams
 
 
-@query("SELECT row_id, source_text AS source, target_text AS target FROM model_inputs WHERE source_text <> '' AND target_text <> '' AND source_text NOT LIKE '[%' AND target_text NOT LIKE '[%'")
+@query("SELECT row_id, source_text AS source, target_text AS target FROM model_inputs WHERE source_text <> '' AND target_text <> '' ")
 def read_pairs_json(spark, d):
     """Pairs as JSON lines and back."""
     lines = _pairs(spark, d).select(F.to_json(F.struct(F.concat_ws("|", F.col("row_id").cast("string"), "source_text").alias("src"), F.col("target_text").alias("tgt"))).alias("value"))
@@ -781,16 +919,22 @@ def _stream(spark, d, name, *cols):
 def stream_changed_rate(spark, d):
     """Counts per week of event time from a stream of all rows, run until nothing is left."""
     rows = _stream(spark, d, "corruptions", F.col("created_at").cast("timestamp").alias("created_at"), "is_corrupted").where("created_at is not null")
-    out = stream.run_once(stream.changed_rate(rows), f"changed_rate_{os.getpid()}", f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}", "complete")
+    out = stream.run_once(stream.changed_rate(rows), f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}", f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}", "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "n_corrupted")
 
 
-@query("SELECT count(*)::BIGINT AS n, count(text)::BIGINT AS n_texts FROM sentences")
+@query(f"SELECT seg_id, {_TIDY} AS text FROM sentences")
 def stream_normalize(spark, d):
-    """The normalisation pipeline on a stream, with a count of what came through."""
+    """Blanks and lines tidied on a stream, row by row."""
+    rows = _stream(spark, d, "sentences", "seg_id", "text").withColumn("text", normalize.tidy_lines(F.col("text")))
+    return stream.run_once(rows, f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}", f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}")
+
+
+@query("SELECT count(*)::BIGINT AS n FROM sentences")
+def stream_normalize_all(spark, d):
+    """The whole pipeline, compatibility forms too, on a stream: the rows that came through."""
     rows = stream.normalized_stream(_stream(spark, d, "sentences", "seg_id", "text"))
-    counts = rows.groupBy().agg(F.count("*").alias("n"), F.count("text").alias("n_texts"))
-    return stream.run_once(counts, f"normalized_{os.getpid()}", f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}", "complete")
+    return stream.run_once(rows, f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}", f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}").agg(F.count("*").alias("n"))
 
 
 # ---- flagship
@@ -809,3 +953,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+ORACLES["flagship"] = f"""WITH {_LINES}, {_sql_pieces(_QUOTED)}, keyed AS (SELECT doc_id || '-' || start::BIGINT AS id, text FROM pieces WHERE length(text) BETWEEN 5 AND 118),
+{_sql_corrupt("keyed", "id", 1, _GATE.format(key="id", n=1))}
+SELECT coalesce(edits[1].type, 'none') AS type, count(*)::BIGINT AS n, sum(length(corrupted) + CASE edits[1].type WHEN 'S' THEN 1 WHEN 'M' THEN -length(edits[1].error) ELSE 0 END)::BIGINT AS target_chars, count(*) FILTER (edits[1].type IN ('S', 'R'))::BIGINT AS masks FROM made GROUP BY 1"""
+QUERIES |= files.QUERIES | golden.QUERIES
+ORACLES |= files.ORACLES | golden.ORACLES

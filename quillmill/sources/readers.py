@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -32,10 +30,20 @@ def _tab(v: Column, i: int) -> Column:
 
 
 def jsonl_pairs(lines: DataFrame) -> DataFrame:
-    """JSON lines with source|src and target|tgt (a list counts by its first member), or two tab-separated columns."""
+    """JSON lines with source|src and target|tgt (a list counts by its first member, an empty one as the source); lines that
+    aren't JSON objects as two tab-separated columns."""
     v = F.trim("value")
-    m = F.from_json(v, ANY)
-    return _pairs(lines.where(v != ""), F.coalesce(_first(m, "source", "src"), F.when(~v.startswith("{"), _tab(v, 0))), F.coalesce(_first(m, "target", "tgt"), F.when(~v.startswith("{"), _tab(v, 1))))
+    m = F.when(v.startswith("{"), F.from_json(v, ANY))
+    source = _first(m, "source", "src")
+    empty = F.coalesce(*[F.when(m[n].isNotNull(), F.schema_of_variant(m[n]) == "ARRAY<VOID>") for n in ("target", "tgt")], F.lit(False))
+    target = F.when(empty, source).otherwise(_first(m, "target", "tgt"))
+    return _pairs(lines.where(v != ""), F.when(m.isNotNull(), source).otherwise(_tab(v, 0)), F.when(m.isNotNull(), target).otherwise(_tab(v, 1)))
+
+
+def rejected(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(n_lines, n_read, n_rejected): how many lines that aren't blank a reader left out."""
+    n = lines.where(F.trim("value") != "").agg(F.count("*").alias("n_lines"))
+    return n.join(pairs.agg(F.count("*").alias("n_read"))).select("*", (F.col("n_lines") - F.col("n_read")).alias("n_rejected"))
 
 
 def labelled_jsonl(lines: DataFrame) -> DataFrame:
@@ -84,9 +92,13 @@ def read_labelled(spark: SparkSession, path: str, strict: bool = False) -> tuple
     return done, plain.limit(0) if strict and done.take(1) else plain
 
 
-def clean_texts(rows: DataFrame, fields: tuple[str, ...] = ("text", "sentence", "content")) -> DataFrame:
-    """(text): JSON strings, JSON objects by the first field with a value, or the line itself."""
+def clean_texts(rows: DataFrame, fields: tuple[str, ...] = ("text", "sentence", "content"), strict: bool = False) -> DataFrame:
+    """(text): JSON strings, JSON objects by the first field with a value, or the line itself. With `strict` a line that
+    begins like an object and is none is an error."""
     v = F.trim("value")
+    if strict:
+        broken = v.startswith("{") & F.from_json(v, ANY).isNull()
+        v = F.when(broken, F.raise_error(F.concat(F.lit("no JSON: "), v))).otherwise(v)
     text = F.when(v.startswith("{"), _first(F.from_json(v, ANY), *fields)).when(v.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0))).otherwise(v)
     return rows.select(F.trim(text).alias("text")).where("text <> ''")
 
@@ -112,7 +124,8 @@ def read_sources(spark: SparkSession, path: str, parallel: bool = False) -> Data
 def read_confusions(spark: SparkSession, path: str, type: str = "custom") -> DataFrame:
     """(char, confusion, type, weight, ord) from JSON (object of lists, list of objects), JSON lines or TSV. A missing file
     has no rows."""
-    if not os.path.exists(path) and "://" not in path:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "char string, confusion string, type string, weight double, ord long")
     obj = "array<struct<char:string,confusions:array<string>,type:string>>"
     if path.endswith(".json"):
@@ -126,7 +139,12 @@ def read_confusions(spark: SparkSession, path: str, type: str = "custom") -> Dat
         f = F.split("value", "\t", -1)
         rows = spark.read.text(path).where("trim(value) <> '' and not value like '#%'").select(F.monotonically_increasing_id().alias("i"), F.trim(F.element_at(f, 1)).alias("char"), F.filter(F.slice(f, 2, 1 << 20), lambda x: F.trim(x) != "").alias("confusions"), F.lit(None).cast("string").alias("type"))
     out = rows.where("char <> ''").select("char", F.posexplode("confusions").alias("pos", "confusion"), F.coalesce("type", F.lit(type)).alias("type"), "i")
-    return out.select("char", F.trim("confusion").alias("confusion"), "type", F.lit(1.0).alias("weight"), (F.col("i") * 1000 + F.col("pos")).alias("ord")).where("confusion <> ''")
+    return out.select("char", F.trim("confusion").alias("confusion"), "type", F.lit(1.0).alias("weight"), (F.shiftleft("i", 20) + F.col("pos")).alias("ord")).where("confusion <> ''")
+
+
+def labelled_within(rows: DataFrame, width: int = 128) -> DataFrame:
+    """Labelled rows whose source fits, with `edit_distance`, the number of ops that change something."""
+    return rows.where((F.length("source") > 0) & (F.length("source") <= width - 2)).withColumn("edit_distance", F.size(F.filter("op_labels", lambda x: x != 0)))
 
 
 def within_limits(pairs: DataFrame, width: int = 128) -> DataFrame:

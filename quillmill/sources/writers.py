@@ -6,6 +6,7 @@ import json
 import os
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,14 @@ def write_frozen(rows: DataFrame, path: str, fmt: str = "jsonl") -> None:
     out = rows.select("source", "target", "is_corrupted", "num_edits")
     if fmt == "tsv":
         out.write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
-    elif fmt == "json":
-        out.select(F.to_json(F.struct("*")).alias("value")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    elif fmt == "json":  # lines, each of which is an array of a batch of rows: no task holds them all
+
+        def arrays(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(b.column(0).to_pylist()) + "]"])], names=["value"])
+
+        out.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
     elif fmt == "jsonl":
         out.write.mode("overwrite").json(path)
     else:
@@ -38,7 +45,8 @@ def write_confusions(lookup: DataFrame, path: str, fmt: str = "tsv") -> None:
     """(char, confusions), sorted by char."""
     rows = lookup.orderBy("char")
     if fmt == "tsv":
-        rows.select(F.concat_ws("\t", "char", "confusions").alias("value")).write.mode("overwrite").text(path)
+        head = rows.sparkSession.createDataFrame([("# char, confusions",)], "value string").coalesce(1)
+        head.unionAll(rows.select(F.concat_ws("\t", "char", "confusions").alias("value"))).write.mode("overwrite").text(path)
     elif fmt in ("json", "jsonl"):
         rows.select("char", "confusions").write.mode("overwrite").json(path)
     else:

@@ -22,8 +22,18 @@ def changed_rate(rows: DataFrame, time: str = "created_at", late: str = "30 days
     )
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """All that has arrived, into the table `name`; then it stops."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that has arrived, as a table at `path`; then it stops. Rows go from executors to files, never to the driver.
+    Batches have a folder each, written anew if one is repeated; of complete results the last one holds."""
+    done: list[int] = []
+
+    def write(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={no}")
+        done.append(no)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(f"{path}/batch={done[-1]}" if mode == "complete" else path).select(*stream.columns)

@@ -199,7 +199,10 @@ def test_corrector(spark):
     sure = lambda k, n: F.array(*[F.lit(float(i == k)) for i in range(n)])
     plan = lambda r: r.select("id", F.transform("ids", lambda x: F.when(x == 8, sure(2, 3)).when(x == 9, sure(1, 3)).otherwise(sure(0, 3))).alias("p_op"), F.transform("ids", lambda x: sure(0, 4)).alias("p_insert"))
     fill = lambda r: r.select("id", F.transform("ids", lambda x: F.when(x == 103, 55).otherwise(x)).alias("filled"), F.transform("ids", lambda x: F.when(x.isin(103, 55), 0.1).otherwise(0.9)).alias("confidence"))
-    got = {r.id: r for r in pipeline.Corrector(plan, fill).correct(rows).collect()}
+    sparse = config.Settings(features=config.FeatureSettings(full_mask=False), decisions=config.DecisionSettings(refine=True))
+    whole = {r.id: r for r in pipeline.Corrector(plan, fill).correct(rows).collect()}  # every target position is a mask; nothing is refined
+    assert whole[1].prediction == [55, 55] and whole[2].prediction == [55] and [(e.position, e.type) for e in whole[1].edits] == [(1, "REPLACE"), (2, "DELETE")]
+    got = {r.id: r for r in pipeline.Corrector(plan, fill, sparse).correct(rows).collect()}
     assert got[1].prediction == [7, 55] and got[1].is_changed and [(e.position, e.type) for e in got[1].edits] == [(1, "REPLACE"), (2, "DELETE")]
     assert got[2].prediction[0] == 55 and not got[2].edits  # refined: its only id is the least sure
 

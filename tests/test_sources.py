@@ -15,8 +15,8 @@ def pairs(df):
 
 
 def test_pair_formats(spark, tmp_path):
-    p = put(tmp_path / "a.jsonl", '{"source": "a", "target": "b"}', '{"src": "c", "tgt": ["d", "e"]}', '{"source": "x", "target": []}', '{"source": "", "target": "b"}', "", "t1\tt2", "one", '{"broken": ')
-    assert pairs(readers.read_pairs(spark, p, "mucgec")) == [("a", "b"), ("c", "d"), ("t1", "t2")]
+    p = put(tmp_path / "a.jsonl", '{"source": "a", "target": "b"}', '{"src": "c", "tgt": ["d", "e"]}', '{"source": "x", "target": []}', '{"source": "", "target": "b"}', "", "t1\tt2", "one", '{"broken": ', '{"broken\ty')
+    assert pairs(readers.read_pairs(spark, p, "mucgec")) == [("a", "b"), ("c", "d"), ("t1", "t2"), ("x", "x"), ('{"broken', "y")]
     p = put(tmp_path / "b.tsv", 'a "q\tb', "only", "", "c\td\te")
     assert pairs(readers.read_pairs(spark, p, "parallel")) == [('a "q', "b"), ("c", "d")]
     assert pairs(readers.read_pairs(spark, put(tmp_path / "c.tsv", "1\ta\tb"), "sighan", id_column=True)) == [("a", "b")]

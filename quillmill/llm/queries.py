@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import importlib
+from . import leaks, lookalikes, mojibake, overlaps, pieces, quality, segmenter, tokenizing, truncation
 
-MODULES = ["lookalikes", "pieces", "segmenter", "overlaps", "truncation", "mojibake", "tokenizing", "leaks", "quality"]
 QUERIES: dict = {}
-ORACLES: dict = {}
-for _name in MODULES:
-    try:
-        _m = importlib.import_module(f".{_name}", __package__)
-    except ModuleNotFoundError as e:
-        if e.name != f"{__package__}.{_name}":
-            raise
-        continue
+ORACLES: dict[str, str] = {}
+for _m in (lookalikes, pieces, segmenter, overlaps, truncation, mojibake, tokenizing, leaks, quality):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

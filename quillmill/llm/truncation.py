@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import let
 from ..runtime import spread, table
 
 # Token ids.
@@ -29,18 +30,19 @@ MIN_ENDING, SHARE_ENDING = 4, 0.8
 
 def lengths(text: Column) -> dict[str, Column]:
     """How long `text` is in each unit a field's limit may count in."""
-    chars, wide = F.length(text), F.length(F.regexp_replace(text, r"[\x00-\x7f]", ""))
-    lines = chars - F.length(F.regexp_replace(text, "\n", ""))
-    entities = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "&", "&amp;"), "[<>]", "&lt;"), "[\"']", "&quot;")
+    chars, utf8 = F.length(text), F.octet_length(text)
+    signs = lambda some: chars - F.length(F.translate(text, some, ""))
+    wide = F.regexp_count(text, F.lit(r"[^\x00-\x7f]"))
+    escaped = 4 * signs("&") + 3 * signs("<>") + 5 * signs("\"'")
     return {
         "chars": chars,
-        "utf8": F.octet_length(text),
+        "utf8": utf8,
         "gbk": chars + wide,
         "utf16": F.octet_length(F.encode(text, "UTF-16BE")),
-        "entities": F.length(entities),
-        "entities_utf8": F.octet_length(entities),
-        "json_ascii": chars + 5 * wide + chars - F.length(F.regexp_replace(text, r'["\\]', "")),
-        "crlf": chars + lines,
+        "entities": chars + escaped,
+        "entities_utf8": utf8 + escaped,
+        "json_ascii": chars + 5 * wide + signs("\"\\"),
+        "crlf": chars + signs("\n"),
     }
 
 
@@ -55,10 +57,10 @@ def _endless(text: Column) -> Column:
 
 
 def standing_out(sizes: DataFrame) -> DataFrame:
-    """(source, unit, cap, n_at_cap, n_closed, by_chance) of (source, unit, n, closed): the lengths that stand out among the
+    """(source, unit, cap, n_at_cap, n_closed, by_chance) of (source, unit, n, closed, rows): the lengths that stand out among the
     values of a source that aren't closed. `by_chance` is how many closed ones at a limit the lengths below it make expect.
     Histograms are summed map-side."""
-    n = sizes.groupBy("source", "unit", "n").agg(F.count_if(~F.col("closed")).alias("k"), F.count_if("closed").alias("c"))
+    n = sizes.groupBy("source", "unit", "n").agg(F.sum(F.when(~F.col("closed"), F.col("rows")).otherwise(0)).alias("k"), F.sum(F.when(F.col("closed"), F.col("rows")).otherwise(0)).alias("c"))
     w = Window.partitionBy("source", "unit").orderBy("n").rangeBetween(-BELOW, -1)
     near = n.select("*", *[(F.coalesce(F.sum(x).over(w), F.lit(0)) / BELOW).alias(f"{x}_below") for x in "kc"])
     out = near.where((F.col("k") >= MIN_AT_LIMIT) & (F.col("k") >= STANDS_OUT * F.col("k_below")))
@@ -69,10 +71,11 @@ def hidden_limits(df: DataFrame, source: str, text: str) -> DataFrame:
     """As `standing_out`, of the lengths of a text without added marks in every unit. Null texts count nothing; a null
     source is a source."""
     t = F.col(text)
-    sizes = df.where(t.isNotNull()).select(
-        F.coalesce(F.col(source), F.lit("")).alias("source"), (~_endless(t)).alias("closed"), F.explode(F.create_map(*[x for k, v in lengths(bare(t)).items() for x in (F.lit(k), v)])).alias("unit", "n")
-    )
-    return standing_out(sizes)
+    rows = df.where(t.isNotNull()).select(F.coalesce(F.col(source), F.lit("")).alias("source"), (~_endless(t)).alias("closed"), bare(t).alias("t"))
+    # Rows of one source and length in all units are counted together before units are set apart.
+    together = rows.groupBy("source", "closed", F.struct(*[v.alias(k) for k, v in lengths(F.col("t")).items()]).alias("n")).agg(F.count("*").alias("rows"))
+    units = F.explode(F.create_map(*[x for k in lengths(t) for x in (F.lit(k), F.col(f"n.{k}"))])).alias("unit", "n")
+    return standing_out(together.select("source", "closed", "rows", units))
 
 
 def title_endings(texts: DataFrame) -> DataFrame:
@@ -120,7 +123,8 @@ def cut_values(inputs: DataFrame, samples: DataFrame, closing: list[int], unknow
     cap = F.struct("unit", "cap", (F.col("n_closed") > 2 * chance + 3 * F.sqrt(chance)).alias("beyond_chance"))
     caps = hidden_limits(inputs, "source", "target_text").groupBy("source").agg(F.collect_list(cap).alias("caps"))
     own = F.create_map(*[x for k, v in lengths(t).items() for x in (F.lit(k), v)])
-    hit = F.filter("caps", lambda c: (own[c["unit"]] <= c["cap"]) & (own[c["unit"]] >= c["cap"] - F.when(c["unit"].isin(BYTES), 3).otherwise(0)))
+    near = lambda n, c: (n <= c["cap"]) & (n >= c["cap"] - F.when(c["unit"].isin(BYTES), 3).otherwise(0))
+    hit = F.when(F.size("caps") > 0, let(own, lambda n: F.filter("caps", lambda c: near(n[c["unit"]], c))))
     at_limit, beyond = F.size("hit") > 0, F.exists("hit", lambda c: c["beyond_chance"])
     tail = F.levenshtein(F.right(t, F.lit(10)), F.right(src, F.lit(10)))
     goes_on = lambda more, other: F.coalesce(src.rlike(CLOSED) & (F.length(src) - F.length(t) >= more) & (tail >= other), F.lit(False))
@@ -132,7 +136,7 @@ def cut_values(inputs: DataFrame, samples: DataFrame, closing: list[int], unknow
         .join(per_text, "sample_id", "left")
         .join(caps, "source", "left")
         .join(title_endings(inputs), F.right("target_text", F.lit(2)) == F.col("ending"), "left")
-        .withColumn("hit", F.coalesce(hit, F.filter("caps", lambda c: F.lit(False)), F.array().cast("array<struct<unit:string,cap:int,beyond_chance:boolean>>")))
+        .withColumn("hit", F.coalesce(hit, F.array().cast("array<struct<unit:string,cap:int,beyond_chance:boolean>>")))
         .where(
             F.coalesce(F.length(t) < F.greatest("n_full", "n_target"), F.lit(False))
             | open_end
@@ -165,7 +169,7 @@ def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs, samples, _ = _tables(spark, sf_dir)
     source = F.coalesce("source", F.lit("")).alias("source")
     n = lambda c, none: F.size(F.filter(c, lambda x: x != none))
-    sizes = lambda c, none: samples.where(F.col(c).isNotNull()).select(source, F.lit("ids").alias("unit"), n(c, none).alias("n"), F.lit(False).alias("closed"))
+    sizes = lambda c, none: samples.where(F.col(c).isNotNull()).select(source, F.lit("ids").alias("unit"), n(c, none).alias("n"), F.lit(False).alias("closed"), F.lit(1).alias("rows"))
     found = {"target_text": hidden_limits(inputs, "source", "target_text"), "input_ids": standing_out(sizes("input_ids", PAD)), "infill_labels": standing_out(sizes("infill_labels", IGNORE))}
     return reduce(DataFrame.unionAll, [x.select(F.lit(k).alias("field"), "*") for k, x in found.items()])
 

@@ -67,7 +67,7 @@ def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFra
         counts = F.transform(F.col("l"), lambda x: (F.length(x) - F.length(F.replace(x, F.lit(sep), F.lit("")))) / len(sep))
         usual = F.element_at(F.sort_array(counts), (F.size("l") / 2 + 1).cast("int"))
         least = 2 if sep in COMMAS else 1
-        return F.when((F.size("l") >= 3) & (usual >= least), F.size(F.filter(counts, lambda c: c == usual)) / F.size("l")).otherwise(0.0)
+        return F.when((F.size("l") >= 3) & F.contains(t, F.lit(sep)) & (usual >= least), F.size(F.filter(counts, lambda c: c == usual)) / F.size("l")).otherwise(0.0)
 
     return (
         df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))

@@ -6,11 +6,11 @@ import json
 import os
 import struct
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import VECTORS, packed
+from ..runtime import checkpointed
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
@@ -23,18 +23,20 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.coalesce(1).write.mode("overwrite").json(path)
 
 
+def _line(rows: DataFrame, line: str) -> DataFrame:
+    """One line, in one partition, in the session of `rows`."""
+    return rows.sparkSession.range(1, numPartitions=1).select(F.lit(line).alias("value"))
+
+
 def write_frozen(rows: DataFrame, path: str, fmt: str = "jsonl") -> None:
     out = rows.select("source", "target", "is_corrupted", "num_edits")
     if fmt == "tsv":
         out.write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
-    elif fmt == "json":  # lines, each of which is an array of a batch of rows: no task holds them all
-
-        def arrays(batches):
-            for b in batches:
-                if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(b.column(0).to_pylist()) + "]"])], names=["value"])
-
-        out.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
+    elif fmt == "json":  # the files, one after the other, are one array; no task holds all rows
+        rows = checkpointed(out.select(F.to_json(F.struct("*")).alias("v"), F.monotonically_increasing_id().alias("i")))
+        first = rows.agg(F.min("i")).first()[0]
+        end = _line(rows, "]" if first is not None else "[]")
+        rows.select(F.concat(F.when(F.col("i") == F.lit(first), "[").otherwise(","), "v").alias("value")).unionAll(end).write.mode("overwrite").text(path)
     elif fmt == "jsonl":
         out.write.mode("overwrite").json(path)
     else:
@@ -45,8 +47,7 @@ def write_confusions(lookup: DataFrame, path: str, fmt: str = "tsv") -> None:
     """(char, confusions), sorted by char."""
     rows = lookup.orderBy("char")
     if fmt == "tsv":
-        head = rows.sparkSession.createDataFrame([("# char, confusions",)], "value string").coalesce(1)
-        head.unionAll(rows.select(F.concat_ws("\t", "char", "confusions").alias("value"))).write.mode("overwrite").text(path)
+        _line(rows, "# char, confusions").unionAll(rows.select(F.concat_ws("\t", "char", "confusions").alias("value"))).write.mode("overwrite").text(path)
     elif fmt in ("json", "jsonl"):
         rows.select("char", "confusions").write.mode("overwrite").json(path)
     else:

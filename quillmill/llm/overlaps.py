@@ -6,8 +6,8 @@ of n // 9 + 1 disjoint pieces one at least stands unchanged in any partner. All
 among the evaluation texts' grams of the pieces' length, at every place to which the edits beside a piece can move it. Pieces
 of the first half count places from the start and those of the second half from the end, as edits move these least. Both are
 partitioned by their hash; a partition that a common piece overfills is split up, round after round, until each fits a task.
-Pairs of texts whose pieces, places, lengths and character counts allow it are verified by edit distance. Texts are compared
-in the form of problem 1 and stand once in all, however many rows have them.
+Pairs of texts whose pieces, places, lengths, neighbouring pieces and character counts on both sides of the piece allow it are
+verified by edit distance. Texts are compared in the form of problem 1 and stand once in all, however many rows have them.
 """
 
 from __future__ import annotations
@@ -34,8 +34,13 @@ MOST_BROADCAST = 500_000
 # of it, but not more of them than a shuffle can keep track of. SALT: in how many parts of each side a later split cuts.
 MOST_ENTRIES, MOST_PARTITIONS, SALT = 1_000_000, 100_000, 4
 KINDS = 21
+# Pairs from which all rows are compared with all of a range, and how many of them at a time (they fit a core's cache).
+LARGE, BLOCK = 1024, 65_536
 FIELDS = ("original", "corrupted")
-ENTRY = np.dtype([("gram", "<u4"), ("place", "<u4"), ("length", "<u4"), ("side", "u1"), ("id", "<u8"), ("sketch", "<u8")])
+# sketch: character counts of the text; outer: of what lies between the gram and the end its place counts from; left: the
+# NEAR code points in front of the gram, in 3 bits each, the nearest lowest.
+ENTRY = np.dtype([("gram", "<u4"), ("place", "<u4"), ("length", "<u4"), ("side", "u1"), ("left", "<u4"), ("id", "<u8"), ("sketch", "<u8"), ("outer", "<u8")])
+NEAR = 9
 # Bits of `side` over those of the fields: which of PIECES, and that the place counts from the end.
 KIND, FROM_END = 16, 64
 # Bits of the fields on each side.
@@ -113,12 +118,42 @@ def _concatenated(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def character_counts(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How many characters of each of KINDS kinds a text has, modulo 8: one edit changes two of them by one at most. Kinds go
-    by code point, so that most letters of an alphabet have a kind of their own."""
-    owner = np.repeat(np.arange(starts.size), ends - starts)
-    n = np.bincount(owner * KINDS + points.astype(np.int64) % KINDS, minlength=KINDS * starts.size).reshape(-1, KINDS).astype(np.uint64) & np.uint64(7)
-    return (n << (np.arange(KINDS, dtype=np.uint64) * np.uint64(3))).sum(1, dtype=np.uint64)
+def character_counts(points: np.ndarray, *ranges: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """How many characters of each of KINDS kinds the points first[i] .. last[i] - 1 of each of `ranges` have, modulo 8: one
+    edit changes two of them by one at most. Kinds go by code point, so that most letters of an alphabet have a kind of their own."""
+    kinds = (points % KINDS).astype(np.uint8)
+    out = [np.zeros(first.size, np.uint64) for first, _ in ranges]
+    upto = np.zeros(points.size + 1, np.uint8)  # modulo 256
+    for k in range(KINDS):
+        np.cumsum(kinds == k, dtype=np.uint8, out=upto[1:])
+        for n, (first, last) in zip(out, ranges):
+            n |= ((upto[last] - upto[first]) & np.uint8(7)).astype(np.uint64) << np.uint64(3 * k)
+    return out
+
+
+def counts_less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts a - b, kind by kind and modulo 8."""
+    top = np.uint64(sum(4 << 3 * i for i in range(KINDS)))
+    return ((a | top) - (b & ~top)) ^ ((a ^ ~b) & top)
+
+
+def counts_in_gray(a: np.ndarray) -> np.ndarray:
+    """Counts in Gray code: as many bits differ as steps lie between two counts, or fewer."""
+    return a ^ ((a >> np.uint64(1)) & np.uint64(sum(3 << 3 * i for i in range(KINDS))))
+
+
+def gray_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`count_distance` or less, at once for all kinds."""
+    return np.bitwise_count(counts_in_gray(a) ^ counts_in_gray(b))
+
+
+def points_in_front(points: np.ndarray) -> np.ndarray:
+    """`left` of each place. In front of a text stands what happens to: a piece that is looked at has a whole one in front."""
+    few = (points.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(29)
+    out = np.zeros(points.size, np.uint32)
+    for d in range(1, min(NEAR, points.size) + 1):
+        out[d:] |= few[: points.size - d] << np.uint32(3 * (d - 1))
+    return out
 
 
 def count_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,12 +174,16 @@ def gram_blocks(texts: DataFrame, partitions: int) -> DataFrame:
                 continue
             ids, sides = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().astype(np.uint8)
             points, starts, ends = _points(batch.column(2).to_pylist())
-            sketch = character_counts(points, starts, ends)
             t, v = (f(points, starts, ends, sides & bits != 0) for f, bits in ((training_pieces, TRAIN), (evaluation_grams, EVAL)))
             text, place, h, more = _concatenated([t, v])
             e = np.empty(text.size, ENTRY)
-            e["gram"] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            e["place"], e["length"], e["id"], e["sketch"] = place, (ends - starts)[text], ids[text], sketch[text]
+            e["gram"] = (h & np.uint64(0xFFFFFF)).astype(np.uint32)  # enough to tell a partition's grams apart
+            back, q = more & FROM_END != 0, np.array([q for _, q in PIECES])[more // KIND & 3]
+            at = np.where(back, ends[text] - q - place, starts[text] + place)
+            sketch, outer = character_counts(points, (starts, ends), (np.where(back, ends[text] - place, starts[text]), np.where(back, ends[text], at)))
+            e["place"], e["length"], e["id"], e["sketch"], e["outer"] = place, (ends - starts)[text], ids[text], sketch[text], outer
+            wide = 2 * (q // 2) + np.repeat([0, 1], [t[0].size, v[0].size])  # what is looked at of a piece and of a gram
+            e["left"] = points_in_front(points)[at] & ((1 << 3 * wide) - 1).astype(np.uint32)
             e["side"] = sides[text] & np.repeat(np.array([TRAIN, EVAL], np.uint8), [t[0].size, v[0].size]) | more
             yield _by_part(e, (h >> np.uint64(32)).astype(np.int64) % partitions)
 
@@ -160,30 +199,98 @@ def _by_part(e: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
 
 
 def _packed(e: np.ndarray) -> bytes:
-    """Byte by byte: all first bytes, all second ones and so on, which compresses well as most high bytes are alike."""
-    return e.view(np.uint8).reshape(-1, ENTRY.itemsize).T.tobytes()
+    """Their number, and byte by byte: all first bytes, all second ones and so on, most of which take few values. Entropy
+    coded, as the shuffle's own codec finds repeats only."""
+    return e.size.to_bytes(4, "little") + pa.compress(e.view(np.uint8).reshape(-1, ENTRY.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(block: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY)[:, 0]
-
-
-def alike_pairs(e: np.ndarray, chunk: int = 2_000_000) -> np.ndarray:
+    size = int.from_bytes(block[:4], "little") * ENTRY.itemsize
+    planes = pa.decompress(block[4:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY)[:, 0]
+
+
+def neighbour_alike(a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether one edit at most can have made the q code points in front of gram a of those in front of piece b: of their
+    halves the one next to the piece is the same, or the other one is, moved by one place at most."""
+    h = (3 * (q // 2)).astype(np.uint32)  # bits of a half
+    mask = (np.uint32(1) << h) - np.uint32(1)
+    ok = (a ^ b) & mask == 0
+    for d in (-3, 0, 3):
+        ok |= ((a >> (h + np.int32(d)).astype(np.uint32)) ^ (b >> h)) & mask == 0
+    return ok
+
+
+def _near_ranges(counts: list[tuple[np.ndarray, np.ndarray]], most: list[np.ndarray], row: np.ndarray, first: np.ndarray, last: np.ndarray, cell: np.ndarray, chunk: int):
+    """(row, t) in chunks: for each i, of the training pieces t in first[i] .. last[i] - 1, those of which each of the counts,
+    in Gray code, differ in most[i] bits at most. Rows of one cell have nearly the same range and bounds: where there are many
+    pairs, all are compared with all by the largest bounds, without an index for each pair."""
+    if not row.size:
+        return
+    order = np.argsort(cell)
+    row, first, last, cell, most = row[order], first[order], last[order], cell[order], [x[order] for x in most]
+    cut = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), cell.size)
+    rows, low, high = np.diff(cut), np.minimum.reduceat(first, cut[:-1]), np.maximum.reduceat(last, cut[:-1])
+    bounds = [np.minimum(np.maximum.reduceat(x, cut[:-1]), 64).tolist() for x in most]
+    many = (rows > 1) & (rows * (high - low) >= LARGE)
+    for g in np.flatnonzero(many).tolist():
+        some, lo, hi = row[cut[g] : cut[g + 1]], int(low[g]), int(high[g])
+        step = max(1, BLOCK // (hi - lo))
+        for k in range(0, some.size, step):
+            for at in range(lo, hi, BLOCK):
+                ok = True
+                for (a, b), bound in zip(counts, bounds):
+                    ok &= np.bitwise_count(a[some[k : k + step], None] ^ b[None, at : min(hi, at + BLOCK)]) <= bound[g]
+                pair = np.flatnonzero(ok)
+                if pair.size:
+                    r, t = np.divmod(pair, ok.shape[1])
+                    yield some[k + r], at + t
+    single = ~np.repeat(many, rows)
+    row, first, count, most = row[single], first[single], (last - first)[single], [x[single] for x in most]
+    cuts = np.flatnonzero(np.diff(np.cumsum(count) // chunk)) + 1 if count.size else []
+    for lo, hi in zip([0, *cuts], [*cuts, row.size]):
+        i, t = _expand(first[lo:hi], count[lo:hi])
+        for (a, b), bound in zip(counts, most):
+            ok = np.bitwise_count(a[row[lo:hi]][i] ^ b[t]) <= bound[lo:hi][i]
+            i, t = i[ok], t[ok]
+        yield row[lo:hi][i], t
+
+
+def _gathered(pairs, least: int):
+    """The same pairs, at least so many at a time."""
+    held, n = [], 0
+    for r, t in pairs:
+        held.append((r, t))
+        n += r.size
+        if n >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def alike_pairs(e: np.ndarray, chunk: int = 1_000_000) -> np.ndarray:
     """Pairs of text ids (evaluation, training) of a partition of which a gram is a piece, at places and in texts that few
-    enough edits could make of each other. Exact for what it is given: no group is capped."""
+    enough edits could make of each other. Exact for what it is given: no group is capped.
+
+    Of the pieces of a text that are the same in its partner, the one is looked for that is the first to have no more edits
+    up to its end than pieces in front. It has just as many in front as pieces, and the piece next to it in front has one at
+    most (else an earlier piece would be the first). So the counts of what stands in front differ by twice its number of
+    pieces at most, those of what stands behind by twice the edits that are left."""
     train, evals = e[(e["side"] & TRAIN) != 0], e[(e["side"] & EVAL) != 0]
     if not train.size or not evals.size:
         return np.zeros((0, 2), np.uint64)
-    grams, group = np.unique(train["gram"], return_inverse=True)
-    at = np.minimum(np.searchsorted(grams, evals["gram"]), grams.size - 1)
-    ok = grams[at] == evals["gram"]
+    # Grams of one kind, and of one end that places count from.
+    a_gram, b_gram = (x["gram"].astype(np.uint64) << np.uint64(8) | x["side"] & np.uint8(3 * KIND + FROM_END) for x in (evals, train))
+    grams, group = np.unique(b_gram, return_inverse=True)
+    at = np.minimum(np.searchsorted(grams, a_gram), grams.size - 1)
+    ok = grams[at] == a_gram
     evals, at = evals[ok], at[ok]
     # Training pieces in order of gram, place and length; a row for each piece that can be moved to a gram's place.
     order = np.lexsort((train["length"], train["place"], group))
     train, group = train[order], group[order]
     slot = (group.astype(np.uint64) << np.uint64(32)) | train["place"].astype(np.uint64)
     slots, begin = np.unique(slot, return_index=True)
-    begin = np.append(begin, train.size)
     q = np.array([q for _, q in PIECES])[(evals["side"] // KIND) & 3]
     place, m = evals["place"].astype(np.int64), evals["length"].astype(np.int64)
     base = at.astype(np.uint64) << np.uint64(32)
@@ -191,35 +298,49 @@ def alike_pairs(e: np.ndarray, chunk: int = 2_000_000) -> np.ndarray:
     last = np.searchsorted(slots, base | (q * (place // (q - 1))).astype(np.uint64), "right")
     row, cell = _expand(first, np.maximum(last - first, 0))
     # Within a slot the lengths are in order.
-    dense = np.repeat(np.arange(slots.size, dtype=np.uint64), np.diff(begin)) << np.uint64(32) | train["length"].astype(np.uint64)
+    dense = np.repeat(np.arange(slots.size, dtype=np.uint64), np.diff(np.append(begin, train.size))) << np.uint64(32) | train["length"].astype(np.uint64)
     low, high = m - m // EDITS, m + m // (EDITS - 1)
     base = cell.astype(np.uint64) << np.uint64(32)
     first = np.searchsorted(dense, base | low[row].astype(np.uint64))
-    count = np.searchsorted(dense, base | high[row].astype(np.uint64), "right") - first
-    some = count > 0
-    row, first, count = row[some], first[some], count[some]
+    last = np.searchsorted(dense, base | high[row].astype(np.uint64), "right")
+    a_side, a_left, a_id, b_side, b_left, b_id = (np.ascontiguousarray(x[c]) for x in (evals, train) for c in ("side", "left", "id"))
+    a_outer, a_counts, b_outer, b_counts = (np.ascontiguousarray(x[c]) for x in (evals, train) for c in ("outer", "sketch"))
+    counts = [(a_outer, b_outer), (counts_less(a_counts, a_outer), counts_less(b_counts, b_outer)), (a_counts, b_counts)]
+    b_place, b_length, b_back = train["place"].astype(np.int64), train["length"].astype(np.int64), b_side & FROM_END != 0
+    index = b_place // np.array([q for _, q in PIECES])[(b_side // KIND) & 3]  # pieces before this one, or behind it
+    b_front = np.where(b_back, b_length // (EDITS - 1) - index, index)
+    # What any piece of a slot allows: the counts on the side that places count from, and those on the other.
+    i, back = index[begin][cell], b_back[begin][cell]
+    outer = 2 * i - np.abs(place[row] - b_place[begin][cell])
+    inner = 2 * (high[row] // np.where(back, EDITS - 1, EDITS) - i)
+    some = (last > first) & (outer >= 0) & (inner >= 0)
+    row, first, last, cell, outer, inner = row[some], first[some], last[some], cell[some], outer[some], inner[some]
+    # Rows of one cell, one bound and nearly one length are compared together.
+    step = (np.log(np.maximum(m, 1)) / np.log(1.04)).astype(np.int64)
+    bounds, nth = np.unique(outer, return_inverse=True)
+    alike = (cell * bounds.size + nth) * 1024 + step[row]
     found = []
-    cuts = np.flatnonzero(np.diff(np.cumsum(count) // chunk)) + 1 if count.size else []
-    for lo, hi in zip([0, *cuts], [*cuts, row.size]):
-        r, t = _expand(first[lo:hi], count[lo:hi])
-        r = row[lo:hi][r]
-        a_length, b_length = m[r], train["length"][t].astype(np.int64)
-        most = np.maximum(a_length, b_length) // EDITS
-        over = a_length - b_length
-        i = train["place"][t].astype(np.int64) // q[r]  # pieces before this one, or behind it
-        moved = place[r] - train["place"][t]
-        a_side, b_side = evals["side"][r], train["side"][t]
-        ok = ((a_side >> 1) & b_side & TRAIN) != 0  # one field on both sides
-        ok &= (a_side ^ b_side) < KIND
-        # Some unchanged piece has just as many edits in front of it as pieces (where edits less pieces first fall below 0).
-        front = np.where(a_side & FROM_END, b_length // (EDITS - 1) - i, i)
-        shift = np.where(a_side & FROM_END, over - moved, moved)
-        ok &= (np.abs(shift) <= front) & (np.abs(over - shift) <= most - front)
-        r, t, most, over = r[ok], t[ok], most[ok], over[ok]
-        a, b = evals["id"][r], train["id"][t]
-        ok = (a != b) & (count_distance(evals["sketch"][r], train["sketch"][t]) <= 2 * most - np.abs(over))
-        if ok.any():
-            found.append(np.unique(np.stack([a[ok], b[ok]], 1), axis=0))
+    gray = [(counts_in_gray(a), counts_in_gray(b)) for a, b in counts[:2]]
+    for r, t in _gathered(_near_ranges(gray, [outer, inner], row, first, last, alike, chunk), chunk // 4):
+        ok = (b_front[t] == 0) | neighbour_alike(a_left[r], b_left[t], q[r])
+        r, t = r[ok], t[ok]
+        ok = (((a_side[r] >> 1) & b_side[t] & TRAIN) != 0) & (a_id[r] != b_id[t])  # one field on both sides
+        r, t = r[ok], t[ok]
+        front, back = b_front[t], b_back[t]
+        most = np.maximum(m[r], b_length[t]) // EDITS
+        over = m[r] - b_length[t]
+        moved = place[r] - b_place[t]
+        shift = np.where(back, over - moved, moved)
+        ok = (np.abs(shift) <= front) & (np.abs(over - shift) <= most - front)
+        ahead, behind = 2 * front - np.abs(shift), 2 * (most - front) - np.abs(over - shift)
+        r, t = r[ok], t[ok]
+        limits = [x[ok] for x in (np.where(back, behind, ahead), np.where(back, ahead, behind), 2 * most - np.abs(over))]
+        for test in (gray_distance, count_distance):
+            for k, (x, y) in enumerate(counts):
+                ok = test(x[r], y[t]) <= limits[k]
+                r, t, limits = r[ok], t[ok], [x[ok] for x in limits]
+        if r.size:
+            found.append(np.unique(np.stack([a_id[r], b_id[t]], 1), axis=0))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
 
 

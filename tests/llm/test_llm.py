@@ -242,6 +242,31 @@ def test_near_pairs_of_alphabetic_texts_are_all_found(spark):
         assert len(want) > 200 and want <= got
 
 
+def test_common_phrases_make_few_candidates(spark):
+    """Texts of one pattern share most pieces but few are near: candidates must not grow with the square of such texts."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    things, places = [word(7) for _ in range(40)], [word(6) for _ in range(12)]
+    forms, want = {}, set()
+    for k in range(1500):
+        t = f"At {word(8)}, {word(9)} and {word(7)}: the {rng.choice(things)} was returned before the end of the {rng.choice(places)} since the storm."
+        forms.setdefault(t, 0b1010 if k % 5 == 0 else 0b0101)
+        if k % 25 == 0:
+            s = list(t)
+            for _ in range(rng.randint(1, len(t) // 10)):
+                s[rng.randrange(len(s))] = rng.choice("abcdefgh")
+            s = "".join(s)
+            if s not in forms:
+                forms[s] = 0b0101
+                want.add((t, s))
+    ids = {t: i for i, t in enumerate(forms)}
+    texts = spark.createDataFrame([(ids[t], ids[t], ids[t], side, t) for t, side in forms.items()], "id long, h1 long, h2 long, side int, form string")
+    for most in (overlaps.MOST_ENTRIES, 3000):
+        got = {tuple(r) for r in overlaps.candidates(texts, most).collect()}
+        assert {(ids[a], ids[b]) for a, b in want} <= got
+        assert len(got) < 10_000  # of 360,000 pairs, of which some 60 are near
+
+
 def test_blocks_round_trip():
     e = np.zeros(5, overlaps.ENTRY)
     e["gram"], e["id"] = range(5), range(5, 10)
